@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices
+from . import p1_notices, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +18,27 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return p1_notices.without_notices(load(spark, d, "all_languages"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_matches(spark, d).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks.leaks(load(spark, d, "documents"), load(spark, d, "benchmark"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks.without_leaks(load(spark, d, "documents"), load(spark, d, "benchmark")).select("doc_id", "lang", "source", "n_chars")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_sentences.sentence_spans(load(spark, d, "documents"))
+
+
+QUERIES = (p1_found, p1_clean, p9_found, p9_matches, p9_clean, p10_found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean}
+    return {f.__name__: f for f in QUERIES}
 
 
 P1_KEYED = """
