@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices, p9_leaks, p10_sentences
+from . import p1_notices, p8_tokens, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return p1_notices.without_notices(load(spark, d, "all_languages"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return p8_tokens.token_ids(load(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_matches(spark, d).select("doc_id", "item_id")
 
@@ -34,7 +38,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
