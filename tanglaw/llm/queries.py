@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices, p8_tokens, p9_leaks, p10_sentences
+from . import p1_notices, p3_encoding, p6_quality, p8_tokens, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,22 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return p1_notices.without_notices(load(spark, d, "all_languages"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_encoding.damaged(load(spark, d, "all_languages")).select("doc_id")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return p3_encoding.damaged(load(spark, d, "all_languages"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_quality.judged(load(spark, d, "all_languages")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return p6_quality.judged(load(spark, d, "all_languages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokens.token_ids(load(spark, d, "documents"))
 
@@ -38,7 +54,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p3_found, p3_restored, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
