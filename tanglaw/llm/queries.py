@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices, p3_encoding, p6_quality, p8_tokens, p9_leaks, p10_sentences
+from . import p1_notices, p2_language, p3_encoding, p6_quality, p8_tokens, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return p1_notices.without_notices(load(spark, d, "all_languages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_language.wrong_labels(load(spark, d, "all_languages"), load(spark, d, "language_names")).select("doc_id", "line_no", "language")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return p2_language.judged(load(spark, d, "all_languages"), load(spark, d, "language_names"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_encoding.damaged(load(spark, d, "all_languages")).select("doc_id")
 
@@ -54,7 +62,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p3_found, p3_restored, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
