@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialize, spread
 from . import p1_notices
 
-#: Texts that the labelled documents are made from, at most.
+#: Texts that the labelled documents are made from, about; drawn by hash.
 SAMPLE = 1500
 #: Words called common, of each stored language with at least a hundredth of the texts' words.
 COMMON = 30
@@ -272,7 +272,11 @@ def as_case(rules: list[tuple[str, list[tuple[int, str, float]]]]) -> str:
 def learned_case(spark: SparkSession, df: DataFrame, common: list[str]) -> str:
     """The CASE expression learned on documents made from a sample of ``df``."""
     function = re.compile(r"(?<![^\W\d_])" + trie(common) + r"(?![^\W\d_])")
-    rows = df.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).collect()
+    texts_in = df.where("text is not null")
+    share = min(1.0, SAMPLE / max(texts_in.count(), 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    rows = sorted(texts_in.where(place < int(share * 1_000_000)).select("doc_id", "text").collect())
+    rows = [(text,) for _, text in rows]
     texts = [r[0] for r in rows if len(function.findall(r[0].lower())) > 0.15 * len(re.findall(r"[^\W\d_]+", r[0])) and len(re.findall(r"[.!?…]", r[0])) > 2]
     made = made_documents(texts)
     if not made:
