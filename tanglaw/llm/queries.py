@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices, p2_language, p3_encoding, p5_level, p6_quality, p8_tokens, p9_leaks, p10_sentences
+from . import p1_notices, p2_language, p3_encoding, p4_scans, p5_level, p6_quality, p8_tokens, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,14 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return p3_encoding.damaged(load(spark, d, "all_languages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_scans.faults(load(spark, d, "all_languages"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return p4_scans.repaired(load(spark, d, "all_languages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_level.corrected(load(spark, d, "all_languages"))
 
@@ -70,7 +78,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p5_found, p5_levels, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_levels, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
