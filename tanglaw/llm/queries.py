@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import p1_notices, p2_language, p3_encoding, p4_scans, p5_level, p6_quality, p8_tokens, p9_leaks, p10_sentences
+from . import p1_notices, p2_language, p3_encoding, p4_scans, p5_level, p6_quality, p7_overlap, p8_tokens, p9_leaks, p10_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,18 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return p6_quality.judged(load(spark, d, "all_languages"))
 
 
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, d, "all_languages"), load(spark, d, "high_resource_index"), load(spark, d, "low_resource_heldout")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_overlap.overlaps(*_p7(spark, d)).select("doc_id_a", "doc_id_b")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return p7_overlap.report(*_p7(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokens.token_ids(load(spark, d, "documents"))
 
@@ -78,7 +90,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_levels, p6_found, p6_statistics, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_levels, p6_found, p6_statistics, p7_found, p7_report, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
