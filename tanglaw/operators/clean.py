@@ -98,13 +98,14 @@ def prefix_flag() -> Column:
 
 def walk_publishers(body: Column, flag: Column) -> Column:
     """(body, flag) after at most ten publisher marks: a mark with three or fewer native words after it ends the text; any other is taken out up to the next native word."""
-    pattern = F.lit(U + f"(?i:{L.PUBLISHER})")
+    raw = U + f"(?i:{L.PUBLISHER})"
+    pattern = F.lit(raw)
     native = F.lit(r"(?<!\p{L})(?i:" + "|".join(L.NATIVE_FUNC) + r")(?!\p{L})")
 
     def step(state: Column, _: Column) -> Column:
         text = state["body"]
         at = F.regexp_instr(text, pattern)
-        after = text.substr(at + F.length(F.regexp_extract(text, pattern, 0)), F.length(text))
+        after = text.substr(at + F.length(F.regexp_extract(text, raw, 0)), F.length(text))
         goes_on = F.regexp_instr(after, native)
         tail = F.regexp_count(after, native) <= 3
         resumed = F.trim(F.concat(text.substr(F.lit(1), at - 1), F.lit(" "), F.when(goes_on > 0, after.substr(goes_on, F.length(after))).otherwise("")))
