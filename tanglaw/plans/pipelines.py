@@ -9,6 +9,7 @@ from .. import lexicon as L
 from ..functions import features as FE
 from ..functions import text as T
 from ..operators import audit, clean, corpus, ngrams
+from ..sources.tables import materialize
 
 FEATURES = ("mean_sentence_len", "mean_word_len", "polysyll_freq", "type_token_ratio", *FE.SHAPES, "tag_bi", "bik_bi", "ceb_bi", "tag_tri", "bik_tri", "ceb_tri")
 
@@ -67,7 +68,9 @@ def build(df: DataFrame) -> DataFrame:
         .unionByName(clean.clean_tagalog(rows.where("language = 'tagalog'")))
         .unionByName(clean.clean_pages(rows.where(F.col("language").isin(*L.LOW_RESOURCE))))
     )
-    marked = corpus.flag_duplicates(corpus.mark(cleaned.select("doc_id", "language", "level", "title", F.col("narrative").alias("text"), "flag")), ["doc_id"])
+    # Stored once: filters on the narrative would otherwise be pushed through every cleaning step and repeat its expressions.
+    stored = materialize(cleaned.select("doc_id", "language", "level", "title", F.col("narrative").alias("text"), "flag"), "cleaned")
+    marked = corpus.flag_duplicates(corpus.mark(stored), ["doc_id"])
     kept = marked.where(corpus.emittable(F.col("text"), F.col("flag")))
     return kept.select("doc_id", "language", "level", T.normalize(F.col("text")).alias("text"), "flag")
 
