@@ -65,7 +65,7 @@ class Page:
     """One text: its lines, their kinds (header, page or none), and the words cut apart."""
 
     def __init__(self, text: str, title: str | None):
-        if p3_encoding.SUSPECTS.search(text):
+        if p3_encoding.GARBLED.search(text):
             text = p3_encoding.restore(text)[0]
         self.lines = text.split("\n")
         n = len(self.lines)

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +27,20 @@ from ..sources.tables import spread
 #: Items that are sent to the executors at once; a larger table is searched for block by block.
 ITEMS_PER_BLOCK = 20_000
 
-FORMAT = regex.compile(r"\p{Cf}+")
-MARKS = regex.compile(r"\p{Mn}+")
+
+
+def _class(category: str) -> re.Pattern:
+    """A compiled class of all characters of a Unicode category, as ranges."""
+    points = [c for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == category]
+    ranges, first = [], points[0]
+    for a, b in zip(points, [*points[1:], -1]):
+        if b != a + 1:
+            ranges.append(f"\\U{first:08x}-\\U{a:08x}")
+            first = b
+    return re.compile(f"[{''.join(ranges)}]+")
+
+
+FORMAT, MARKS = _class("Cf"), _class("Mn")
 HYPHENED = re.compile(r"[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*")
 WORD = re.compile(r"[^\W_]+")
 
