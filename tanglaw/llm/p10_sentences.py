@@ -70,7 +70,8 @@ def _ends(text: str, start: int, mark: int, close: int, after: int) -> bool:
             return False
         if low in REFERENCES and c.isdigit():
             return False
-        if INITIAL.fullmatch(token) and not first and c.isupper() and k == after:
+        quoted = mark > len(token) and text[mark - len(token) - 1] in OPENERS  # a quotation's first word, unless another initial follows
+        if INITIAL.fullmatch(token) and not first and c.isupper() and k == after and (not quoted or text[after + 1 : after + 2] == "."):
             return False
         if first and NUMBER.fullmatch(token):
             return False

@@ -29,18 +29,8 @@ ITEMS_PER_BLOCK = 20_000
 
 
 
-def _class(category: str) -> re.Pattern:
-    """A compiled class of all characters of a Unicode category, as ranges."""
-    points = [c for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) == category]
-    ranges, first = [], points[0]
-    for a, b in zip(points, [*points[1:], -1]):
-        if b != a + 1:
-            ranges.append(f"\\U{first:08x}-\\U{a:08x}")
-            first = b
-    return re.compile(f"[{''.join(ranges)}]+")
-
-
-FORMAT, MARKS = _class("Cf"), _class("Mn")
+#: Characters that need no look at their category.
+PLAIN = frozenset(map(chr, range(128))) | frozenset("“”‘’«»…–—·•")
 HYPHENED = re.compile(r"[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*")
 WORD = re.compile(r"[^\W_]+")
 
@@ -49,7 +39,10 @@ def words(text: str) -> list[str]:
     """The words of ``text`` as they are compared."""
     text = text.lower()
     if not text.isascii():
-        text = MARKS.sub("", FORMAT.sub("", unicodedata.normalize("NFD", text)))
+        text = unicodedata.normalize("NFD", text)
+        for c in set(text).difference(PLAIN):
+            if unicodedata.category(c) in ("Mn", "Cf"):
+                text = text.replace(c, "")
     if "-" in text or "‐" in text or "‑" in text:
         text = HYPHENED.sub("", text)
     return WORD.findall(text)
