@@ -1,6 +1,6 @@
 """Problem 6: statistics of each text, and texts that are not natural prose.
 
-Statistics are native expressions per line, summed per document (partial sums before the shuffle), without the lines that problem 1 finds repeated. An ordered
+Statistics are taken of all lines of an Arrow batch at once and summed per document (partial sums before the shuffle), without the lines that problem 1 finds repeated. An ordered
 list of rules is induced by incremental reduced-error pruning on labelled documents and exported as one SQL CASE expression that Spark evaluates on the sums.
 
 The labelled documents are a sample of at most ``SAMPLE`` texts that read as prose, and for each kind the same words set as lists, tables and junk, so that
@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, spread
@@ -72,34 +74,104 @@ def trie(words: list[str]) -> str:
     return build(root)
 
 
-def _length_of(line: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(line, kept, ""))
-
-
-def line_statistics(df: DataFrame, common: list[str]) -> DataFrame:
-    """One row per line that isn't blank, with what is summed per document; h1 and h2 as in problem 1."""
-    line = F.col("line")
-    low = F.lower(line)
+# Classes of the characters of the basic plane, as bits.
+LETTER, DIGIT, SPACE, SYMBOL, UPPER, LOWER, CONSONANT, PART = (1 << k for k in range(8))
+ENDS = re.compile(r"[.!?…][”’\"»')]*\s*$")
+BULLET = re.compile(r"\s*(?:[-•*·–—▪◦●]|\d+[.)])\s")
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class bits and the lower case of every character of the basic plane."""
+    bits, low = np.zeros(0x10000, np.uint8), np.arange(0x10000, dtype=np.uint32)
+    plain = frozenset(".,!?…\"“”‘’«»':;()–—-")
+    for c in range(0x10000):
+        x = chr(c)
+        if x.isalpha():
+            bits[c] = LETTER | PART | (UPPER if x.isupper() else LOWER if x.islower() else 0) | (CONSONANT if x.lower() in "bcdfghjklmnpqrstvwxyz" else 0)
+            if len(x.lower()) == 1:
+                low[c] = ord(x.lower())
+        elif x.isspace():
+            bits[c] = SPACE
+        elif "0" <= x <= "9":
+            bits[c] = DIGIT
+        elif not x.isnumeric() and x not in plain and not 0x300 <= c <= 0x36F:
+            bits[c] = SYMBOL
+    return bits, low
+
+
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def word_hash(word: str) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for c in word:
+        h = h * BASE + np.uint64(ord(c) + 1)
+    return h[0]
+
+
+def measured(lines: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of each line, all lines at once; ``common`` holds the sorted hashes of the common words."""
+    if not _tables:
+        _tables.append(_classes())
+    bits, low = _tables[0]
+    size = np.array([len(x) for x in lines], np.int64) + 1
+    c = np.minimum(np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+    start = np.cumsum(size) - size
+    b = bits[c]
+    per = lambda hits: np.add.reduceat(hits.astype(np.int32), start)
+    has = lambda bit: (b & bit) != 0
+    shift = lambda a, k: np.concatenate((np.zeros(k, a.dtype), a[:-k]))
+    after = lambda a, k: np.concatenate((a[k:], np.zeros(k, a.dtype)))
+    letter, space, digit = has(LETTER), has(SPACE), has(DIGIT)
+    blank = c == 32
+    separator = (c == 44) | (c == 59)
+    wide = blank & after(blank, 1) & after(blank, 2)
+    dots = (c == 46) & after(c == 46, 1) & after(c == 46, 2) & after(blank, 3)
+    gap = (c == 9) | (c == 124) | (separator & ~after(space, 1)) | (wide & ~shift(wide, 1)) | dots
+    seen = np.cumsum(~space)
+    gap &= seen > np.repeat(seen[start] - (~space[start]), size)  # something stands before it in its line
+    consonant = has(CONSONANT)
+    plain = consonant & (low[c] != ord("n"))
+    four, three = consonant & shift(consonant, 1) & shift(consonant, 2) & shift(consonant, 3), plain & shift(plain, 1) & shift(plain, 2)
+    cluster = four | three
+    # Words with inner hyphens, hashed by prefix sums with inverse powers of the base.
+    part = letter | ((c == 45) & shift(letter, 1) & after(letter, 1))
+    first, last = np.flatnonzero(part & ~shift(part, 1)), np.flatnonzero(part & ~after(part, 1))
+    total = len(c)
+    power, back = np.ones(total + 1, np.uint64), np.ones(total + 1, np.uint64)
+    np.multiply.accumulate(np.full(total, BASE, np.uint64), out=power[1:])
+    np.multiply.accumulate(np.full(total, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64), out=back[1:])
+    prefix = np.zeros(total + 1, np.uint64)
+    np.cumsum((low[c].astype(np.uint64) + np.uint64(1)) * back[1:], out=prefix[1:])
+    h = (prefix[last + 1] - prefix[first]) * power[last + 1]
+    known = np.zeros(total, bool)
+    if len(common) and len(h):
+        known[first] = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+    return {
+        "letters": per(letter), "chars": per(~space), "words": per(letter & ~shift(letter, 1)), "digits": per(digit), "symbols": per(has(SYMBOL)),
+        "ends": np.array([ENDS.search(x) is not None for x in lines], np.int32), "bullets": np.array([BULLET.match(x) is not None for x in lines], np.int32), "gaps": per(gap),
+        "breaks": per((separator | (c == 0x2022) | (c == 47)) & after(blank, 1)), "common": per(known),
+        "humps": per((has(LOWER) & after(has(UPPER), 1)) | (letter & after(digit, 1)) | (digit & after(letter, 1))), "clusters": per(cluster & ~shift(cluster, 1)),
+    }
+
+
+def line_statistics(df: DataFrame, common: list[str], notices: DataFrame | None) -> DataFrame:
+    """One row per line that isn't blank and not among ``notices``, with what is summed per document."""
     base = spread(df.select("doc_id", "language", "text")).where(F.col("text").isNotNull())
     lines = base.select("doc_id", p1_notices.source_key(F.col("language")).alias("source"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?U)\S"))
-    letters = p1_notices.line_letters(line)
-    lines = lines.select("doc_id", "source", "line", letters.alias("letters"))
-    h1, h2 = p1_notices.hashes(F.col("source"), F.col("letters"))
-    return lines.select(
-        "doc_id", h1, h2,
-        F.length("letters").alias("letters"),
-        F.length(F.regexp_replace(line, r"(?U)\s+", "")).alias("chars"),
-        F.size(F.regexp_extract_all(line, F.lit(r"\p{L}+"), F.lit(0))).alias("words"),
-        _length_of(line, r"[^0-9]+").alias("digits"),
-        _length_of(line, r"[\p{L}\p{M}\p{N}\s\x{A0}.,!?…\"“”‘’«»':;()–—-]+").alias("symbols"),
-        F.regexp_like(line, F.lit(r"(?U)[.!?…][”’\"»')]*\s*$")).cast("int").alias("ends"),
-        F.regexp_like(line, F.lit(r"(?U)^\s*(?:[-•*·–—▪◦●]|\d+[.)])\s")).cast("int").alias("bullets"),
-        F.size(F.regexp_extract_all(line, F.lit(r"\S *(?:\t|\||[,;](?=[^ ])|   |\.\.\. )"), F.lit(0))).alias("gaps"),
-        F.size(F.regexp_extract_all(low, F.lit(r"(?<![\p{L}-])" + trie(common) + r"(?![\p{L}-])"), F.lit(0))).alias("common"),
-        F.size(F.regexp_extract_all(line, F.lit(r"[,;•/] "), F.lit(0))).alias("breaks"),
-        F.size(F.regexp_extract_all(line, F.lit(r"\p{Ll}\p{Lu}|\p{L}\d|\d\p{L}"), F.lit(0))).alias("humps"),
-        F.size(F.regexp_extract_all(low, F.lit(r"[bcdfghjklmnpqrstvwxyz]{4}|[bcdfghjklmpqrstvwxyz]{3}"), F.lit(0))).alias("clusters"),
-    )
+    if notices is not None:
+        h1, h2 = p1_notices.hashes(F.col("source"), p1_notices.line_letters(F.col("line")))
+        lines = lines.withColumns({"h1": h1, "h2": h2}).join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), ["h1", "h2"], "left_anti")
+    hashes = np.sort(np.array([word_hash(w) for w in common], np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = measured(batch.column(1).to_pylist(), hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m[c], pa.int32()) for c in SUMS]], ["doc_id", *SUMS])
+
+    return lines.select("doc_id", "line").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} int" for c in SUMS))
 
 
 SUMS = ("letters", "chars", "words", "digits", "symbols", "ends", "bullets", "gaps", "breaks", "common", "humps", "clusters")
@@ -107,9 +179,7 @@ SUMS = ("letters", "chars", "words", "digits", "symbols", "ends", "bullets", "ga
 
 def statistics(df: DataFrame, common: list[str], notices: DataFrame | None = None) -> DataFrame:
     """The statistics of each text of ``df`` (doc_id, language, text) without the lines whose hashes are in ``notices``."""
-    lines = line_statistics(df, common)
-    if notices is not None:
-        lines = lines.join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), ["h1", "h2"], "left_anti")
+    lines = line_statistics(df, common, notices)
     sums = lines.groupBy("doc_id").agg(F.count("*").alias("lines"), *[F.sum(c).alias(c) for c in SUMS])
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).alias
     return sums.select(
