@@ -41,8 +41,13 @@ def hashes(source: Column, letters: Column) -> list[Column]:
     return [F.xxhash64(source, letters).alias("h1"), F.xxhash64(letters, F.lit("second"), source).alias("h2")]
 
 
+def letters_hash(letters: Column) -> Column:
+    """What tells a line whatever its source."""
+    return F.xxhash64(letters)
+
+
 def line_table(df: DataFrame, min_letters: int = 25) -> DataFrame:
-    """(doc_id, line_no, h1, h2) of every line with enough letters, ``df`` having doc_id, language and text."""
+    """(doc_id, line_no, h1, h2, any) of every line with enough letters, ``df`` having doc_id, language and text."""
     lines = (
         spread(df.select("doc_id", "language", "text"))
         .where(F.col("text").isNotNull() & F.col("language").isNotNull())
@@ -51,7 +56,7 @@ def line_table(df: DataFrame, min_letters: int = 25) -> DataFrame:
         .select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), line_letters(F.col("line")).alias("letters"))
         .where(F.length("letters") >= min_letters)
     )
-    return lines.select("doc_id", "line_no", *hashes(F.col("source"), F.col("letters")))
+    return lines.select("doc_id", "line_no", *hashes(F.col("source"), F.col("letters")), letters_hash(F.col("letters")).alias("any"))
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -60,24 +65,25 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 
 def confirmed(lines: DataFrame, min_docs: int = 5) -> DataFrame:
-    """(h1, h2) of the lines that stand in at least ``min_docs`` documents of their source, as a stored table."""
+    """(h1, h2, any) of the lines that stand in at least ``min_docs`` documents of their source, as a stored table."""
     bucket = F.pmod(F.col("h1"), F.lit(SKETCH_SIZE)).cast("int").alias("bucket")
     summary = lines.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("bucket")
-    candidates = lines.select("doc_id", "h1", "h2", bucket).join(F.broadcast(summary), "bucket", "left_semi")
-    exact = candidates.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
-    return materialize(exact.select("h1", "h2"), "p1-confirmed")
+    candidates = lines.select("doc_id", "h1", "h2", "any", bucket).join(F.broadcast(summary), "bucket", "left_semi")
+    exact = candidates.groupBy("h1", "h2", "any").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
+    return materialize(exact.select("h1", "h2", "any"), "p1-confirmed")
 
 
 def repeated_lines(df: DataFrame, min_letters: int = 25, min_docs: int = 5) -> DataFrame:
     """(doc_id, line_no) of every line repeated in at least ``min_docs`` documents of its source."""
     lines = materialize(line_table(df, min_letters), "p1-lines")
     keys = confirmed(lines, min_docs)
-    return lines.join(small(keys, BROADCAST_LINES), ["h1", "h2"], "left_semi").select("doc_id", "line_no")
+    return lines.join(small(keys.select("h1", "h2"), BROADCAST_LINES), ["h1", "h2"], "left_semi").select("doc_id", "line_no")
 
 
 def notice_hashes(df: DataFrame, min_letters: int = 25, min_docs: int = 5) -> DataFrame:
-    """The confirmed lines of ``df`` as a stored table (h1, h2)."""
-    return confirmed(materialize(line_table(df, min_letters), "p1-lines"), min_docs)
+    """(any): hashes of the letters of the lines of ``df`` that are confirmed in some source. Operators that leave notices aside use them in texts of every language,
+    as a text without a usable label carries the same notices."""
+    return confirmed(materialize(line_table(df, min_letters), "p1-lines"), min_docs).select("any").distinct()
 
 
 def without_notices(df: DataFrame, min_letters: int = 25, min_docs: int = 5) -> DataFrame:

@@ -92,12 +92,32 @@ class Network:
             pooled.append(np.maximum(z.max(axis=1) + self.bias[w], 0))
         return np.concatenate(pooled, axis=1), where
 
+    def quantize(self) -> None:
+        """The folded tables as 16-bit numbers, scaled so that no sum overflows: half the memory traffic, which is what use of the network costs."""
+        self.small = {}
+        for w, tables in self.triples.items():
+            scale = 32_000 / max(sum(float(np.abs(t).max()) for t in tables), 1e-6)
+            self.small[w] = ([np.round(t * scale).astype(np.int16) for t in tables], np.float32(1 / scale))
+
+    def pooled(self, x: np.ndarray) -> np.ndarray:
+        """``features`` from the 16-bit tables."""
+        n = x.shape[1]
+        triple = (x[:, : n - 2] * SYMBOLS + x[:, 1 : n - 1]) * SYMBOLS + x[:, 2:]
+        out = []
+        for w, (tables, unit) in self.small.items():
+            m = n - w + 1
+            z = np.take(tables[0], triple[:, :m], axis=0, mode="clip")
+            for j, table in enumerate(tables[1:], 1):
+                z += np.take(table, triple[:, 3 * j : 3 * j + m], axis=0, mode="clip")
+            out.append(np.maximum(z.max(axis=1) * unit + self.bias[w], 0))
+        return np.concatenate(out, axis=1)
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(self.languages)), np.float32)
-        for at in range(0, len(x), 64):
-            s = self.features(x[at : at + 64])[0] @ self.out + self.out_bias
+        for at in range(0, len(x), 32):
+            s = self.pooled(x[at : at + 32]) @ self.out + self.out_bias
             s -= s.max(axis=1, keepdims=True)
-            out[at : at + 64] = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+            out[at : at + 32] = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
@@ -140,6 +160,7 @@ class Network:
                     v[i] += 0.001 * (grad * grad - v[i])
                     params[i] -= (rate * m[i] / (np.sqrt(v[i]) + 1e-8)).astype(np.float32)
         self.fold()
+        self.quantize()
 
 
 def training_windows(rows: list[tuple[str, str]], languages: list[str], seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +200,7 @@ def trained(lines: DataFrame, languages: list[str]) -> Network:
         net.train(x, y)
     else:
         net.fold()
+        net.quantize()
     return net
 
 
@@ -215,8 +237,8 @@ def line_scores(df: DataFrame, names: DataFrame) -> tuple[DataFrame, list[str]]:
     prose = spread(df).where("text is not null and doc_id is not null").join(p1_notices.small(odd, p1_notices.BROADCAST_LINES), "doc_id", "left_anti")
     lines = prose.select("doc_id", source.alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), "line", p1_notices.line_letters(F.col("line")).alias("letters")).where("letters <> ''")
-    h1, h2 = p1_notices.hashes(F.coalesce("source", F.lit("")), F.col("letters"))
-    lines = lines.select("doc_id", "source", "line_no", "line", h1, h2).join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), ["h1", "h2"], "left_anti")
+    lines = lines.select("doc_id", "source", "line_no", "line", p1_notices.letters_hash(F.col("letters")).alias("any"))
+    lines = lines.join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), "any", "left_anti")
     net = trained(lines, languages)
     run, schema = _reader(net)
     return lines.select("doc_id", "line_no", "line").mapInArrow(run, schema), languages

@@ -75,7 +75,8 @@ class Page:
             s = self.lines[k].strip()
             if len(s) <= 16 and PAGE.match(s) and (any(c.isdigit() for c in s) or len(s) <= 8):
                 self.kind[k] = "page"
-        heads = [TRAILING.sub(lambda m: m.group(1) or m.group(2), self.lines[k]) for k in range(n)]
+        # No header is that long, and the pattern isn't linear.
+        heads = [TRAILING.sub(lambda m: m.group(1) or m.group(2), x) if len(x) <= 160 else x for x in self.lines]
         keys = [_letters(h) for h in heads]
         own, own_folded = _letters(title or ""), _folded(title or "")
         widths = sorted(len(self.lines[k]) for k in full if self.kind[k] is None)

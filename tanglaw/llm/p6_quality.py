@@ -158,11 +158,10 @@ def measured(lines: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
 
 def line_statistics(df: DataFrame, common: list[str], notices: DataFrame | None) -> DataFrame:
     """One row per line that isn't blank and not among ``notices``, with what is summed per document."""
-    base = spread(df.select("doc_id", "language", "text")).where(F.col("text").isNotNull())
-    lines = base.select("doc_id", p1_notices.source_key(F.col("language")).alias("source"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?U)\S"))
+    base = spread(df.select("doc_id", "text")).where(F.col("text").isNotNull())
+    lines = base.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"(?U)\S"))
     if notices is not None:
-        h1, h2 = p1_notices.hashes(F.col("source"), p1_notices.line_letters(F.col("line")))
-        lines = lines.withColumns({"h1": h1, "h2": h2}).join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), ["h1", "h2"], "left_anti")
+        lines = lines.withColumn("any", p1_notices.letters_hash(p1_notices.line_letters(F.col("line")))).join(p1_notices.small(notices, p1_notices.BROADCAST_LINES), "any", "left_anti")
     hashes = np.sort(np.array([word_hash(w) for w in common], np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
