@@ -106,5 +106,15 @@ WITH raw AS (SELECT doc_id, lower(trim(language)) AS source, string_split(text,
 """
 
 
+P9_WORDS = """list_filter(regexp_extract_all(strip_accents(regexp_replace(regexp_replace(lower(text), '[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g'),
+ '[-‐‑](?:\\r\\n|[\\n\\r])[ \\t]*', '', 'g')), '[\\p{L}\\p{N}\\p{M}]+'), lambda w: w <> '')"""
+P9_GRAMS = """{0}w AS (SELECT {1} AS id, {2} AS w FROM {3} WHERE text IS NOT NULL),
+{0}g AS (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM {0}w)"""
+P9_FOUND = (
+    "WITH " + P9_GRAMS.format("d", "doc_id", P9_WORDS, "documents") + ", " + P9_GRAMS.format("b", "item_id", P9_WORDS, "benchmark")
+    + " SELECT DISTINCT dg.id AS doc_id, bg.id AS item_id FROM dg JOIN bg ON dg.gram = bg.gram"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_KEYED + "SELECT doc_id, line_no FROM keyed JOIN good USING (source, letters)"}
+    return {"p1_found": P1_KEYED + "SELECT doc_id, line_no FROM keyed JOIN good USING (source, letters)", "p9_found": P9_FOUND}
