@@ -230,7 +230,7 @@ def line_scores(df: DataFrame, names: DataFrame) -> tuple[DataFrame, list[str]]:
     languages = sorted({r[0].strip().lower() for r in names.select("language").collect() if r[0]})
     df = df.select("doc_id", "language", "text")
     notices = p1_notices.notice_hashes(df)
-    common = p6_quality.common_words(df)
+    common = p6_quality.common_words(df, names)
     case = p6_quality.learned_case(df.sparkSession, df, common)
     odd = materialize(p6_quality.statistics(df, common, notices).where(F.expr(case) != "prose").select("doc_id"), "p2-odd")
     source = p1_notices.source_key(F.col("language"))

@@ -176,11 +176,13 @@ def estimated(df: DataFrame) -> DataFrame:
     )
 
 
-def corrected(df: DataFrame) -> DataFrame:
-    """(doc_id, level) of each text whose stored level is missing, impossible, or at the other end of the scale from how it reads; level is the estimate."""
+def corrected(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(doc_id, level) of each text whose stored level is missing, impossible, or at the other end of the scale from how it reads; level is the estimate.
+
+    ``names`` has the valid languages."""
     result = materialize(estimated(df), "p5-levels")
     unsound = F.col("level").isNull() | ~F.col("level").isin(1, 2, 3)
     flipped = ((F.col("level") == 1) & (F.col("p3") >= SURE)) | ((F.col("level") == 3) & (F.col("p1") >= SURE))
-    kinds = p6_quality.judged(df).where("kind <> 'prose'").select("doc_id")
+    kinds = p6_quality.judged(df, names).where("kind <> 'prose'").select("doc_id")
     doubtful = result.where(F.coalesce(flipped, F.lit(False))).join(kinds, "doc_id", "left_anti")
     return result.where(unsound).unionByName(doubtful).select("doc_id", F.col("estimate").alias("level"))

@@ -4,7 +4,7 @@ Statistics are taken of all lines of an Arrow batch at once and summed per docum
 list of rules is induced by incremental reduced-error pruning on labelled documents and exported as one SQL CASE expression that Spark evaluates on the sums.
 
 The labelled documents are a sample of at most ``SAMPLE`` texts that read as prose, and for each kind the same words set as lists, tables and junk, so that
-no label has to be stored. The common words are the ``COMMON`` most frequent words of all texts.
+no label has to be stored. The common words are the ``COMMON`` most frequent words of each language, however few its texts.
 
 Defined results: null and blank texts have no statistics; a text of repeated lines only has no rest and is called prose; repeated rows of a doc_id are summed, so ids should be unique.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, spread
@@ -26,7 +26,7 @@ from . import p1_notices
 
 #: Texts that the labelled documents are made from, about; drawn by hash.
 SAMPLE = 1500
-#: Words called common, of each stored language with at least a hundredth of the texts' words.
+#: Words called common, of each language.
 COMMON = 30
 #: Orders in which rules are grown; the best on held-out documents is kept.
 ORDERS = 6
@@ -43,16 +43,14 @@ def word_counts(df: DataFrame) -> DataFrame:
     return words.groupBy("source", "word").agg(F.count("*").alias("n"))
 
 
-def common_words(df: DataFrame, most: int = COMMON) -> list[str]:
-    """The ``most`` most frequent words of each source that holds at least a hundredth of all words, in order."""
-    counts = materialize(word_counts(df), "p6-words")
-    sources = counts.groupBy("source").agg(F.sum("n").alias("all"))
-    total = sources.agg(F.sum("all")).first()[0] or 0
-    large = [r[0] for r in sources.where(F.col("all") * 100 >= total).collect()]
-    found: set[str] = set()
-    for source in large:
-        found.update(r[0] for r in counts.where(F.col("source") == source).orderBy(F.desc("n"), "word").select("word").limit(most).collect())
-    return sorted(found)
+def common_words(df: DataFrame, names: DataFrame | None = None, most: int = COMMON) -> list[str]:
+    """The ``most`` most frequent words of each language in ``names`` (language), else of each stored label that isn't blank, in order."""
+    counts = word_counts(df).where("source <> ''")
+    if names is not None:
+        valid = names.select(p1_notices.source_key(F.col("language")).alias("source")).distinct()
+        counts = counts.join(F.broadcast(valid), "source", "left_semi")  # a few names
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "word"))
+    return sorted(r[0] for r in counts.withColumn("place", place).where(F.col("place") <= most).select("word").distinct().collect())
 
 
 def trie(words: list[str]) -> str:
@@ -360,9 +358,9 @@ def learned_case(spark: SparkSession, df: DataFrame, common: list[str]) -> str:
     return as_case(max(tried, key=lambda r: (assign(r, x[held]) == kinds[held]).mean()))
 
 
-def judged(df: DataFrame) -> DataFrame:
-    """The statistics of each text of ``df`` (doc_id, language, text) and its kind: prose, list, table or junk."""
+def judged(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The statistics of each text of ``df`` (doc_id, language, text) and its kind: prose, list, table or junk; ``names`` has the valid languages."""
     df = df.select("doc_id", "language", "text")
-    common = common_words(df)
+    common = common_words(df, names)
     case = learned_case(df.sparkSession, df, common)
     return statistics(df, common, p1_notices.notice_hashes(df)).withColumn("kind", F.expr(case))

@@ -43,7 +43,7 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_level.corrected(load(spark, d, "all_languages"))
+    return p5_level.corrected(load(spark, d, "all_languages"), load(spark, d, "language_names"))
 
 
 def p5_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +51,11 @@ def p5_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_quality.judged(load(spark, d, "all_languages")).where("kind <> 'prose'").select("doc_id", "kind")
+    return p6_quality.judged(load(spark, d, "all_languages"), load(spark, d, "language_names")).where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return p6_quality.judged(load(spark, d, "all_languages"))
+    return p6_quality.judged(load(spark, d, "all_languages"), load(spark, d, "language_names"))
 
 
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
