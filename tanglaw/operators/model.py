@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions import features as FE
 from ..sources.tables import materialize
-from . import corpus
-
-LOCAL = ("mean_sentence_len", "mean_word_len", "polysyll_freq", "type_token_ratio", *FE.SHAPES)
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -29,7 +25,7 @@ def standardize(train: DataFrame, rows: DataFrame, columns: tuple[str, ...]) ->
     return rows.withColumns({c: F.lit(0.0) if not fit[c]["s"] else (F.col(c) - F.lit(fit[c]["m"])) / F.lit(fit[c]["s"]) for c in columns})
 
 
-def forest(trees: int = 200, depth: int = 12) -> RandomForestClassifier:
+def forest(trees: int = 200, depth: int = 30) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=L.SEED, featuresCol="features", labelCol="label", predictionCol="prediction")
 
 
@@ -38,15 +34,13 @@ def perceptron(inputs: int, classes: int = 3, hidden: int = 256) -> MultilayerPe
     return MultilayerPerceptronClassifier(layers=[inputs, hidden, classes], maxIter=200, blockSize=64, seed=L.SEED, featuresCol="features", labelCol="label", predictionCol="prediction")
 
 
-def cross_validated(df: DataFrame, trees: int = 20, depth: int = 8) -> DataFrame:
-    """(doc_id, language, fold, y_true, y_pred): out-of-fold predictions of a forest on the surface features of ``df`` (doc_id, language, level, text)."""
-    docs = FE.tokenized(df.where("language is not null and level in (1, 2, 3)"))
-    local = FE.trad(F.col("words"), F.col("n_sents"), F.col("language")) | FE.syll(F.col("words"), F.col("language"))
-    rows = docs.select("doc_id", "language", (F.col("level") - 1).cast("double").alias("label"), *[c.alias(n) for n, c in local.items()])
-    table = materialize(VectorAssembler(inputCols=list(LOCAL), outputCol="features").transform(balanced(corpus.stratified_folds(rows, ["language", "label"]))), "model-rows")
+def cross_validated(df: DataFrame, columns: tuple[str, ...], trees: int = 200, depth: int = 30) -> DataFrame:
+    """(doc_id, language, fold, y_true, y_pred): out-of-fold predictions of a forest on ``columns`` of ``df`` (doc_id, language, label from 0, fold and the columns)."""
+    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.withColumn("label", F.col("label").cast("double")))
+    table = materialize(rows.select("doc_id", "language", "fold", "label", "features"), "model-rows")
     out = None
-    for fold in range(L.FOLDS):  # five models, each trained on the cluster
-        model = forest(trees, depth).fit(table.where(F.col("fold") != fold))
+    for fold in range(L.FOLDS):  # five models, each trained on the cluster, classes balanced within its training rows
+        model = forest(trees, depth).fit(balanced(table.where(F.col("fold") != fold)))
         part = model.transform(table.where(F.col("fold") == fold)).select("doc_id", "language", "fold", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -59,6 +59,14 @@ def folds(index: DataFrame) -> DataFrame:
     return corpus.stratified_folds(rows, ["language", "label"]).select("doc_id", "language", "label", "fold")
 
 
+def fold_features(texts: DataFrame, index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, language, label from 0, fold and the fourteen features) of the documents of an index with a sound label."""
+    known = folds(index)
+    rows = known.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "language", F.col("label").alias("level"), "text")
+    features = features14(materialize(rows, "fold-texts"), anchors).select("doc_id", *FEATURES)
+    return known.withColumn("label", F.col("label") - 1).join(features, "doc_id")
+
+
 def build(df: DataFrame) -> DataFrame:
     """Corpus build in one plan: clean by kind of source, mark, flag duplicates, emit and normalize. ``df`` has doc_id, language, level, title, text."""
     low = T.lower_trim(F.col("language"))

@@ -561,7 +561,8 @@ def standardize(spark: SparkSession, d: str) -> DataFrame:
 def forest_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     from .operators import model
 
-    return model.cross_validated(documents(spark, d).where("level in (1, 2, 3)"))
+    rows = pipelines.fold_features(texts(spark, d), load(spark, d, "high_resource_index"), load(spark, d, "anchor_ngrams"))
+    return model.cross_validated(rows, pipelines.FEATURES)
 
 
 # --- Validation ----------------------------------------------------------------------------------------------------------------------------------------------
