@@ -63,8 +63,11 @@ def strip_urls(text: Column) -> Column:
 
 
 def drop_foreign_tokens(text: Column) -> Column:
-    """Tokens with a letter of another script than Latin become a space."""
-    return F.regexp_replace(text, rf"{L.NOT_WS}*[^\P{{L}}\p{{IsLatin}}]{L.NOT_WS}*", " ")
+    """Tokens with a letter of another script than Latin become a space.
+
+    A match starts where a token does and its parts don't give back, so a text without white space is read once.
+    """
+    return F.regexp_replace(text, rf"(?<!{L.NOT_WS})[{L.NOT_WS}&&[\P{{L}}\p{{IsLatin}}]]*+[\p{{L}}&&[^\p{{IsLatin}}]]{L.NOT_WS}*+", " ")
 
 
 def undo_latin1(text: Column) -> Column:
@@ -151,15 +154,14 @@ def lower_trim(text: Column) -> Column:
 
 
 def bare_tokens(text: Column) -> Column:
-    """Lower-case tokens of letters only after ``.,!?"'()`` are taken off their ends."""
-    tokens = F.transform(split_words(text), lambda w: F.lower(F.regexp_replace(w, "^[.,!?\"'()]+|[.,!?\"'()]+$", "")))
-    return F.filter(tokens, lambda w: w.rlike(r"^\p{L}+$"))
+    """Lower-case tokens of letters only after ``.,!?"'()`` are taken off their ends, in one pass over the text."""
+    ends = "[.,!?\"'()]*+"
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?<!{L.NOT_WS}){ends}(\p{{L}}++){ends}(?!{L.NOT_WS})"), F.lit(1)), lambda w: F.lower(w))
 
 
 def share_of(tokens: Column, words: list[str]) -> Column:
     """The share of ``tokens`` that are in ``words``; 0 without tokens."""
-    known = F.array(*[F.lit(w) for w in words])
-    return F.coalesce(F.size(F.filter(tokens, lambda w: F.array_contains(known, w))) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
+    return F.coalesce(F.size(F.filter(tokens, lambda w: w.isin(*words))) / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0))
 
 
 def english_ratio(text: Column) -> Column:

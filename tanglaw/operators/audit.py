@@ -50,8 +50,7 @@ def category(span: Column, title: Column, position: Column) -> Column:
     s = T.strip(span)
     hit = lambda pattern: s.rlike(U + pattern)
     tokens = F.regexp_extract_all(s, F.lit(r"(\p{L}+)"), F.lit(1))
-    native_set = F.array(*[F.lit(w) for w in L.NATIVE_FUNC])
-    native = F.exists(tokens, lambda w: F.array_contains(native_set, F.lower(w)))
+    native = F.exists(tokens, lambda w: F.lower(w).isin(*L.NATIVE_FUNC))
     capital = F.size(F.filter(tokens, lambda w: w.rlike(r"^\p{Lu}")))
     cores, title_cores = F.transform(tokens, lambda w: F.lower(w)), T.letter_tokens(F.coalesce(title, F.lit("")))
     n = F.size(title_cores)
@@ -59,7 +58,7 @@ def category(span: Column, title: Column, position: Column) -> Column:
     # What is left of the rest when the capitalised words at its end are taken off.
     from_end = F.array_position(F.transform(F.reverse(rest), lambda w: w.rlike(r"^\p{Lu}")), False).cast("int")
     middle = F.when(from_end > 0, F.slice(rest, F.lit(1), F.size(rest) - from_end + 1)).otherwise(F.array().cast("array<string>"))
-    titled = (position == "leading") & (n > 0) & (F.slice(cores, F.lit(1), F.greatest(n, F.lit(1))) == title_cores) & ~F.exists(middle, lambda w: F.array_contains(native_set, F.lower(w)))
+    titled = (position == "leading") & (n > 0) & (F.slice(cores, F.lit(1), F.greatest(n, F.lit(1))) == title_cores) & ~F.exists(middle, lambda w: F.lower(w).isin(*L.NATIVE_FUNC))
     low_title = F.lower(F.coalesce(title, F.lit("")))
     return (
         F.when(s == "", "whitespace").when(hit(r"(?i)\bKATAPUSAN\b"), "end_marker").when(hit(L.BIO_TAIL) | hit(L.BIO_WORDS), "author_bio").when(hit(rf"(?i){L.TRIGGERS}"), "credit")
@@ -72,8 +71,7 @@ def category(span: Column, title: Column, position: Column) -> Column:
 
 def findings(spans: DataFrame) -> DataFrame:
     """(doc_id, introduced_tokens, interior_native): words added by the cleaning, and native words lost from inside texts."""
-    native_set = F.array(*[F.lit(w) for w in L.NATIVE_FUNC])
-    native = F.size(F.filter(T.letter_tokens(F.col("span")), lambda w: F.array_contains(native_set, w)))
+    native = F.size(F.filter(T.letter_tokens(F.col("span")), lambda w: w.isin(*L.NATIVE_FUNC)))
     return spans.groupBy("doc_id").agg(F.sum("added").alias("introduced_tokens"), F.sum(F.when(F.col("position") == "interior", native).otherwise(0)).alias("interior_native"))
 
 

@@ -20,7 +20,7 @@ def remove(text: Column, pattern: str, new: str = " ") -> Column:
 
 
 def _in(word: Column, words: list[str]) -> Column:
-    return F.array_contains(F.array(*[F.lit(w) for w in words]), word)
+    return word.isin(*words)
 
 
 def strip_title(text: Column, title: Column) -> Column:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import text as T
+from ..sources.tables import materialize, small
+
+#: Rows (hashes and a place) that may be broadcast.
+REPEATED_KEYS = 500_000
 
 
 def role(language: Column) -> Column:
@@ -28,14 +32,27 @@ def mark(df: DataFrame) -> DataFrame:
 def flag_duplicates(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` (language, text, flag) with duplicate on every emittable row but the first, in ``order``, of a language and stripped text.
 
-    The window runs over hashes of the texts, not the texts, and only rows of a repeated key are ranked, so unique rows aren't sorted.
+    Hashes and the emission test are stored with the rows once. Groups are formed over the hashes alone, and only the keys that repeat come back to the rows.
     """
     ok = F.coalesce(emittable(F.col("text"), F.col("flag")), F.lit(False))
     stripped = T.strip(F.col("text"))
-    keyed = df.withColumns({"_ok": ok, "_h1": F.xxhash64("language", stripped), "_h2": F.xxhash64(F.lit("second"), stripped, "language")})
+    keyed = materialize(df.withColumns({"_ok": ok, "_h1": F.xxhash64("language", stripped), "_h2": F.xxhash64(F.lit("second"), stripped, "language")}), "keyed")
+    return _later_flagged(keyed, order).select(*df.columns)
+
+
+def _later_flagged(keyed: DataFrame, order: list[str]) -> DataFrame:
     first = keyed.where("_ok").groupBy("_h1", "_h2").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_h1", "_h2", "_first")
     later = F.col("_ok") & F.col("_first").isNotNull() & (F.struct(*order) != F.col("_first"))
-    return keyed.join(first, ["_h1", "_h2"], "left").withColumn("flag", F.when(later, "duplicate").otherwise(F.col("flag"))).select(*df.columns)
+    return keyed.join(small(first, REPEATED_KEYS), ["_h1", "_h2"], "left").withColumn("flag", F.when(later, "duplicate").otherwise(F.col("flag")))
+
+
+def verdicts(df: DataFrame, key: str) -> DataFrame:
+    """(``key``, language, flag, emitted) of each row of ``df`` (``key``, language, text, flag): marks, then duplicates. Texts are read once and not carried along."""
+    marked = mark(df.select(key, "language", "text", "flag"))
+    stripped = T.strip(F.col("text"))
+    ok = F.coalesce(emittable(F.col("text"), F.col("flag")), F.lit(False))
+    keyed = materialize(marked.select(key, "language", "flag", ok.alias("_ok"), F.xxhash64("language", stripped).alias("_h1"), F.xxhash64(F.lit("second"), stripped, "language").alias("_h2")), "verdicts")
+    return _later_flagged(keyed, [key]).select(key, "language", "flag", (F.col("_ok") & (F.col("flag") != "duplicate")).alias("emitted"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,23 +68,23 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """``df`` with a number from 0 in ``order``, over all rows or within groups.
 
-    Over all rows the numbers come from sorted partitions: row counts of the partitions before are added, so no single task sees the whole table.
+    Rows are sorted in range partitions over the groups and the order, so a group of any size is spread over tasks; a row's number is its place in its partition plus the
+    rows of its group in the partitions before, whose counts are one small table.
     """
-    if within:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    within = within or []
     spark = df.sparkSession
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    ranked = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    from ..sources.tables import materialize
-
-    ranked = materialize(ranked, "numbered")
-    counts = {r[0]: r[1] for r in ranked.groupBy("_part").count().collect()}
-    start, offsets = 0, []
-    for part in sorted(counts):
-        offsets.append((part, start))
-        start += counts[part]
-    table = spark.createDataFrame(offsets, "_part int, _start bigint")
-    return ranked.join(F.broadcast(table), "_part").withColumn(name, (F.col("_start") + F.col("_rn") - 1).cast("bigint")).drop("_part", "_rn", "_start")
+    place = F.monotonically_increasing_id()
+    parts = df.repartitionByRange(*[F.col(c) for c in (*within, *order)]).sortWithinPartitions(*within, *order).withColumn("_place", place)
+    ranked = materialize(parts, "numbered").withColumns({"_part": F.shiftright("_place", 33), "_at": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    keys = [F.col(c).alias(f"_g{k}") for k, c in enumerate(within)]
+    counts = ranked.groupBy("_part", *keys).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))  # a row for each partition and group
+    names = [f"_g{k}" for k in range(len(within))]
+    before = F.sum("_n").over(Window.partitionBy(*names, F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", *names, "_low", F.coalesce(before, F.lit(0)).alias("_start")).withColumnRenamed("_part", "_p")
+    same = F.col("_part") == F.col("_p")
+    for g, c in zip(names, within):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return ranked.join(small(starts, REPEATED_KEYS), same).withColumn(name, (F.col("_start") + F.col("_at") - F.col("_low")).cast("bigint")).select(*df.columns, name)
 
 
 def stratified_folds(df: DataFrame, strata: list[str], key: str = "doc_id", folds: int = L.FOLDS, seed: int = L.SEED) -> DataFrame:

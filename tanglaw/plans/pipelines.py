@@ -49,8 +49,8 @@ def standardized(df: DataFrame, column: str, fit_on: DataFrame | None = None) ->
 
 
 def flagged(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, language, text) with its flag: marks, then duplicates within a language."""
-    return corpus.flag_duplicates(corpus.mark(df.withColumn("flag", F.lit(""))), ["doc_id"])
+    """(doc_id, language, flag, emitted) of ``df`` (doc_id, language, text): marks, then duplicates within a language."""
+    return corpus.verdicts(df.withColumn("flag", F.lit("")), "doc_id")
 
 
 def folds(index: DataFrame) -> DataFrame:

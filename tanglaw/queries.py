@@ -369,8 +369,7 @@ f AS (SELECT doc_id, language, level, CASE WHEN ok AND row_number() OVER (PARTIT
 
 @query(f"WITH {DEDUPED} SELECT doc_id, flag, ok AND flag <> 'duplicate' AS emitted FROM f")
 def flag_and_emit(spark: SparkSession, d: str) -> DataFrame:
-    out = pipelines.flagged(texts(spark, d))
-    return out.select("doc_id", "flag", F.coalesce(corpus.emittable(F.col("text"), F.col("flag")), F.lit(False)).alias("emitted"))
+    return pipelines.flagged(texts(spark, d)).select("doc_id", "flag", "emitted")
 
 
 @query("SELECT min(doc_id) AS doc_id, language, level, count(*) AS copies FROM all_languages WHERE text IS NOT NULL GROUP BY language, level, text")
@@ -435,10 +434,10 @@ def high_resource_positions(spark: SparkSession, d: str) -> DataFrame:
     return corpus.numbered(rows, "pos", ["doc_id"])
 
 
-@query("SELECT doc_id, 'tag_l' || level || '_' || lpad((row_number() OVER (PARTITION BY level ORDER BY doc_id) - 1)::VARCHAR, 4, '0') AS id FROM all_languages WHERE lower(trim(language)) = 'tagalog' AND level IN (1, 2, 3)")
+@query("SELECT doc_id, 'tag_l' || level || '_' || printf('%03d', row_number() OVER (PARTITION BY level ORDER BY doc_id) - 1) AS id FROM all_languages WHERE lower(trim(language)) = 'tagalog' AND level IN (1, 2, 3)")
 def level_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = texts(spark, d).where((T.lower_trim(F.col("language")) == "tagalog") & F.col("level").isin(1, 2, 3)).select("doc_id", "level")
-    return corpus.numbered(rows, "n", ["doc_id"], within=["level"]).select("doc_id", F.concat(F.lit("tag_l"), "level", F.lit("_"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("id"))
+    return corpus.numbered(rows, "n", ["doc_id"], within=["level"]).select("doc_id", F.format_string("tag_l%d_%03d", "level", "n").alias("id"))
 
 
 FOLDS = """q AS (SELECT DISTINCT ON (doc_id) doc_id, language, label FROM high_resource_index WHERE label IN (1, 2, 3) ORDER BY doc_id),

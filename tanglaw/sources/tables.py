@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, data_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,18 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Folders of intermediate tables that this process wrote and that still stand.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a parquet table into the shared folder and read it back.
 
     It cuts the lineage, survives the loss of executors, and lets several consumers share one computation
-    without holding blocks in executor memory.
+    without holding blocks in executor memory. ``release`` deletes the tables; the end of the process does too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tanglaw/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete the intermediate tables written so far. Results that are not yet read or stored can't be read afterwards."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame, least: int = 0) -> DataFrame:
     """Repartition ``df`` when its scan has fewer partitions than the cluster has task slots.
 
