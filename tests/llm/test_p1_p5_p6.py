@@ -46,19 +46,30 @@ def test_empty_table_and_extra_columns(spark):
     assert p6_quality.judged(none).count() == 0
 
 
-def test_rules_on_unseen_documents(spark):
-    rng = random.Random(1)
-    common = ["ang", "sa", "mga", "ay"]
-    words = [*common, "bata", "asong", "balay", "naglaro", "mangga", "ilogan", "punong"]
-    texts = [" ".join(" ".join(rng.choice(words) for _ in range(8)).capitalize() + "." for _ in range(9)) for _ in range(160)]
-    made = p6_quality.made_documents(texts)
-    assert {k for k, _ in made} == {"prose", "list", "table", "junk"}
-    df = spark.createDataFrame([(k, "x", t) for k, (_, t) in enumerate(made)], "doc_id bigint, language string, text string")
-    stats = p6_quality.statistics(df, common).toPandas()
-    x, kinds = stats[list(p6_quality.FEATURES)].to_numpy(float), np.array([made[k][0] for k in stats["doc_id"]])
-    seen = np.random.default_rng(2).random(len(x)) < 0.6
-    rules = p6_quality.induce(x[seen], kinds[seen])
-    assert (p6_quality.assign(rules, x[~seen]) == kinds[~seen]).mean() > 0.9
+def texts_of_each_kind(rng, n):
+    common, nouns = ["ang", "sa", "mga", "ay"], ["bata", "asong", "balay", "naglaro", "mangga", "ilogan", "punong", "bulaklak", "hayop"]
+    sentence = lambda: " ".join(rng.choice(common) if k % 3 == 0 else rng.choice(nouns) for k in range(9)).capitalize() + "."
+    out = []
+    for k in range(n):
+        out.append(("prose", "\n".join(sentence() for _ in range(8)) if k % 2 else " ".join(sentence() for _ in range(8))))
+        if k % 4 == 0:
+            out.append(("list", "\n".join(f"- {rng.choice(nouns)} {rng.choice(nouns)}" for _ in range(9))))
+            out.append(("table", "\n".join(f"{rng.choice(nouns)}\t{rng.randint(1, 99)}\t{rng.randint(1, 99)}" for _ in range(9))))
+            out.append(("junk", "\n".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(60)) for _ in range(4))))
+    return out
+
+
+def test_signals_and_learned_rules(spark):
+    made = texts_of_each_kind(random.Random(1), 300)
+    common, known = {"ang", "sa", "mga", "ay"}, {w for _, t in made for w in t.lower().replace(".", " ").split() if len(w) < 15}
+    told = [p6_quality.kind_by_signals([x for x in t.split("\n") if x], common, known) for _, t in made]
+    assert all(a == b for a, (b, _) in zip(told, made) if a) and sum(x is None for x in told) < 0.05 * len(told)
+    df = spark.createDataFrame([(k, "x", t) for k, (_, t) in enumerate(made)] + [(9001, "x", None), (9002, "x", "  ")], "doc_id bigint, language string, text string")
+    found = {r.doc_id: r.kind for r in p6_quality.judged(df).collect()}
+    assert len(found) == len(made) and sum(found[k] == kind for k, (kind, _) in enumerate(made)) > 0.98 * len(made)
+    some = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    none = spark.createDataFrame([], "any bigint")
+    assert {r.doc_id: r.kind for r in p6_quality.kinds_of(df, None, none, some).collect()} == {k: found[k] for k in (1, 2)}
 
 
 def test_case_and_rules_agree(spark):
@@ -68,11 +79,17 @@ def test_case_and_rules_agree(spark):
     assert [r.k for r in df.select(F.expr(p6_quality.as_case(rules)).alias("k")).collect()] == ["table", "junk", "prose"] == list(p6_quality.assign(rules, np.array(rows)))
 
 
-def test_trie_matches_the_words():
-    import re
-
-    pattern = re.compile(p6_quality.trie(["sa", "sang", "a", "ang"]))
-    assert all(pattern.fullmatch(w) for w in ("sa", "sang", "a", "ang")) and not pattern.fullmatch("san")
+def test_summary_keeps_every_repeated_line(spark):
+    line = "ito ay isang linya na inuulit sa maraming teksto"
+    rows = [(k, "a" if k < 5 else "b", f"{line}\nsariling linya ng tekstong may bilang na {'x' * k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, language string, text string")
+    lines = p1_notices.line_table(df)
+    assert p1_notices.candidates(lines).select("doc_id").distinct().count() == 5  # of source a only
+    assert sorted(map(tuple, p1_notices.repeated_lines(df).collect())) == [(k, 1) for k in range(5)]
+    clean = {r.doc_id: (r.text, r.removed) for r in p1_notices.without_notices(df).collect()}
+    assert clean[0] == (rows[0][2].split("\n")[1], 1) and clean[7] == (rows[7][2], 0)
+    plan = p1_notices.without_notices(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1  # the spread of a scan with few partitions
 
 
 def test_levels_on_held_out_texts(spark):
@@ -87,5 +104,25 @@ def test_levels_on_held_out_texts(spark):
 
 
 def test_grades_without_words():
-    x = p5_level.grades([None, "", "aso"], [1, None, 2], np.zeros((p5_level.WORDS, 3)), np.zeros((p5_level.SHAPES, 3)), {})
+    none = np.full(p5_level.WORDS, -1, np.int64)
+    x = p5_level.grades([None, "", "aso"], ["a", None, "b"], [1, None, 2], np.zeros((p5_level.WORDS, 3)), np.zeros((p5_level.SHAPES, 3)), p5_level.Words(none))
     assert np.isnan(x[:2]).all() and x[2, 0] == 2.0
+
+
+def test_a_word_has_a_grade_in_each_language(spark):
+    # "sala" is easy in one language and hard in the other; the words around it are even.
+    rows = [(k, lang, level, f"sala sala sala {'dito doon' if k % 2 else 'doon dito'}") for k, (lang, level) in enumerate([("una", 1), ("dua", 3)] * 60)]
+    rows += [(1000 + k, lang, 2, "dito doon gitna") for k, lang in enumerate(["una", "dua"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, language string, level int, text string")
+    words, check, shapes = p5_level.level_counts(df)
+    known = p5_level.Words(check)
+    x = p5_level.grades(["sala", "sala"], ["una", "dua"], [None, None], words, shapes, known)
+    assert x[0, -1] < 1.5 and x[1, -1] > 2.5
+
+
+def test_bucket_of_another_word_is_not_used():
+    words, check = np.zeros((p5_level.WORDS, 3)), np.full(p5_level.WORDS, -1, np.int64)
+    bucket, second = p5_level.place("aso", "")
+    words[bucket], check[bucket] = (0, 0, 1000), second + 1
+    x = p5_level.grades(["aso"], [""], [None], words, np.zeros((p5_level.SHAPES, 3)), p5_level.Words(check))
+    assert x[0, -1] == 2.0

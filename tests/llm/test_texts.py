@@ -44,12 +44,12 @@ def test_network_on_held_out_lines():
     rng = random.Random(4)
     pools = {"aa": ["ang", "ng", "mga", "hindi", "siya"], "bb": ["sang", "kag", "apang", "indi", "sia"], "cc": ["the", "and", "there", "with", "she"]}
     line = lambda k: " ".join(rng.choice(pools[k] + ["bata", "aso", "kahoy", "isda"]) for _ in range(14))
-    x, y = p2_language.training_windows([(k, line(k)) for k in pools for _ in range(60)], sorted(pools))
+    x, y, symbol = p2_language.training_windows([(k, line(k)) for k in pools for _ in range(60)], sorted(pools))
     pick = np.random.default_rng(0).permutation(len(x))[:3000]
-    net = p2_language.Network(sorted(pools))
+    net = p2_language.Network(sorted(pools), symbol)
     net.train(x[pick], y[pick])
     tests = [(k, line(k)) for k in pools for _ in range(30)]
-    windows, owner = p2_language.windows([t for _, t in tests])
+    windows, owner = p2_language.windows([t for _, t in tests], symbol)
     total = np.zeros((len(tests), 3))
     np.add.at(total, owner, net.log_probabilities(windows))
     assert np.mean([sorted(pools)[i] == k for i, (k, _) in zip(total.argmax(axis=1), tests)]) > 0.95
@@ -57,7 +57,7 @@ def test_network_on_held_out_lines():
 
 def test_windows_cover_the_whole_text():
     text = "abcdefghijklmnopqrstuvwxyz" * 50
-    x, owner = p2_language.windows(["", text, "ñ é"])
+    x, owner = p2_language.windows(["", text, "ñ é"], p2_language.alphabet([]))
     assert (x[owner == 1] > 0).sum() == len(text) and (x[owner == 0] > 0).sum() == 0 and (x[owner == 2] > 0).sum() == 2
 
 
