@@ -131,7 +131,7 @@ def unify_breaks(text: Column, most: int = 1) -> Column:
 def strip_noise(text: Column) -> Column:
     """Junk glyphs, fill-in underscores, product codes, page banners and empty quotes become a space."""
     for pattern in (L.JUNK_GLYPHS, "_{2,}", L.PRODUCT_CODE, L.PAGE_BANNER, L.EMPTY_QUOTES):
-        text = F.regexp_replace(text, pattern, " ")
+        text = F.regexp_replace(text, "(?U)" + pattern, " ")
     return text
 
 

@@ -26,6 +26,8 @@ VOWELS_SCHWA = "aeiouáéíóúəǝ"
 # Emit policy.
 DROP_FLAGS = ("too_short", "empty", "english_heavy", "duplicate", "residual_boilerplate")
 MIN_WORDS = 4
+LEVEL_MIN_WORDS = 8
+INTERIOR_NATIVE = 2
 ENGLISH_HEAVY = 0.40
 RBO_P = 0.98
 FOLDS = 5

@@ -324,12 +324,17 @@ def strip_leading_names(text: Column) -> Column:
     return F.when(drop > 0, F.array_join(F.slice(tokens, drop + 1, F.greatest(F.size(tokens), F.lit(1))), " ")).otherwise(text)
 
 
+def strip_container(text: Column, level: Column) -> Column:
+    """``text`` without a leading ``name, level,`` of its own level."""
+    start = rf"^.{{1,100}}?,{L.WS}*([0-9]+){L.WS}*,{L.WS}*"
+    return F.when(F.regexp_extract(text, start, 1) == level.cast("string"), F.regexp_replace(text, start, "")).otherwise(text)
+
+
 def clean_levels(df: DataFrame) -> DataFrame:
     """The cleaner of per-level Tagalog records (level, text); a record without a story becomes empty."""
     columns = df.columns
     sentences = lambda c: F.split(F.col(c), rf"(?<=[.!?]){L.WS}+")
-    container = F.regexp_extract(F.col("_t"), r"^.{1,100}?,\s*([0-9]+)\s*,\s*", 1)
-    out = _text(df).withColumn("_t", F.when(container == F.col("level").cast("string"), F.regexp_replace(F.col("_t"), r"^.{1,100}?,\s*[0-9]+\s*,\s*", "")).otherwise(F.col("_t")))
+    out = _text(df).withColumn("_t", strip_container(F.col("_t"), F.col("level")))
     out = out.withColumn("_t", drop_canvas(T.basic_clean(F.col("_t"))))
     out = out.withColumn("_t", remove(F.regexp_replace(F.regexp_replace(F.col("_t"), L.JUNK_GLYPHS, " "), "_{2,}", " "), L.PRODUCT_CODE))
     for _ in range(4):
@@ -350,6 +355,11 @@ def clean_levels(df: DataFrame) -> DataFrame:
     return _done(out.withColumn("narrative", T.collapse(kept)).withColumn("flag", F.when(F.col("narrative") == "", "empty").otherwise("")), columns)
 
 
+def long_enough(df: DataFrame, column: str = "narrative", least: int = L.LEVEL_MIN_WORDS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` has ``least`` words or more."""
+    return df.where(T.word_count(F.coalesce(F.col(column), F.lit(""))) >= least)
+
+
 def clean_first_generation(df: DataFrame) -> DataFrame:
     """The first-generation cleaners by language (language, title, text), each followed by the first-generation normalization; flag tells texts of page corpora without a tail mark (unmatched)."""
     columns = df.columns

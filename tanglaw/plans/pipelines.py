@@ -26,9 +26,8 @@ def features14(df: DataFrame, anchors: DataFrame) -> DataFrame:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     docs = FE.tokenized(df)
     local = FE.trad(F.col("words"), F.col("n_sents"), F.col("language")) | FE.syll(F.col("words"), F.col("language"))
-    rows = docs.select("doc_id", *[c.alias(n) for n, c in local.items()], F.col("level").alias("label"), "language", corpus.role(F.col("language")).alias("split_role"))
-    overlap = ngrams.rbo_features(df.select("doc_id", "text"), anchors)
-    out = rows.join(overlap, "doc_id")
+    rows = docs.select("doc_id", *[c.alias(n) for n, c in local.items()], F.col("level").alias("label"), "language", corpus.role(F.col("language")).alias("split_role"), "text")
+    out = ngrams.with_rbo(rows, "text", anchors)
     rounded = [F.round(c, 8).alias(c) if c.endswith(("_bi", "_tri")) else c for c in FEATURES]
     return out.select("doc_id", *rounded, "label", "language", "split_role")
 
@@ -48,6 +47,17 @@ def standardized(df: DataFrame, column: str, fit_on: DataFrame | None = None) ->
     return joined.withColumn("z", (F.col(column) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_k", "_m", "_s")
 
 
+def standardized_by_fold(df: DataFrame, column: str) -> DataFrame:
+    """``df`` (fold and ``column``) with z, ``column`` scaled by the mean and population deviation of the rows of the other folds; null where the deviation is 0."""
+    x = F.col(column)
+    per = df.groupBy("fold").agg(F.count(column).alias("_n"), F.avg(column).alias("_a"), F.coalesce(F.var_pop(column), F.lit(0.0)).alias("_v"))  # a row for each fold
+    a, b = per.select(F.col("fold").alias("fold"), F.lit(1).alias("_k")), per.select(F.col("fold").alias("_o"), "_n", "_a", "_v", F.lit(1).alias("_k"))
+    others = a.join(F.broadcast(b), "_k").where(F.col("fold") != F.col("_o"))
+    moments = others.groupBy("fold").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_a")).alias("s"), F.sum(F.col("_n") * (F.col("_v") + F.col("_a") * F.col("_a"))).alias("q"))
+    fit = moments.select("fold", (F.col("s") / F.col("n")).alias("_m"), F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0))).alias("_d"))
+    return df.join(F.broadcast(fit), "fold").withColumn("z", (x - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).drop("_m", "_d")
+
+
 def flagged(df: DataFrame) -> DataFrame:
     """(doc_id, language, flag, emitted) of ``df`` (doc_id, language, text): marks, then duplicates within a language."""
     return corpus.verdicts(df.withColumn("flag", F.lit("")), "doc_id")
@@ -80,7 +90,8 @@ def build(df: DataFrame) -> DataFrame:
     stored = materialize(cleaned.select("doc_id", "language", "level", "title", F.col("narrative").alias("text"), "flag"), "cleaned")
     marked = corpus.flag_duplicates(corpus.mark(stored), ["doc_id"])
     kept = marked.where(corpus.emittable(F.col("text"), F.col("flag")))
-    return kept.select("doc_id", "language", "level", T.normalize(F.col("text")).alias("text"), "flag")
+    normal = kept.select("doc_id", "language", "level", T.normalize(F.col("text")).alias("text"), "flag")
+    return materialize(normal, "normalized").where(T.strip(F.col("text")) != "")
 
 
 def aligned(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .functions import features as FE
 from .functions import text as T
 from .operators import audit, clean, corpus, evaluate, ngrams
 from .plans import pipelines
-from .sources.tables import load, spread
+from .sources.tables import load, materialize, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,7 +143,7 @@ g AS (SELECT doc_id, {n} AS n, unnest(list_transform(range(1, greatest(length(le
  unnest(range(1, greatest(length(letters) - {n} + 2, 1))) AS pos FROM c)"""
 
 
-@query(f"WITH {GRAMS.format(n=3)} SELECT gram, count(*) AS cnt FROM g GROUP BY gram ORDER BY cnt DESC, gram LIMIT 25")
+@query(f"WITH {GRAMS.format(n=3)} SELECT gram, cnt FROM (SELECT gram, count(*) AS cnt, min((doc_id, pos)) AS first FROM g GROUP BY gram ORDER BY cnt DESC, first LIMIT 25)")
 def char_ngram_topk(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.corpus_profile(documents(spark, d), 3, 25)
 
@@ -261,7 +261,12 @@ def junk_glyphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def strip_noise(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", T.strip_caps_runs(T.strip_noise(F.col("text"))).alias("text"))
+    return documents(spark, d).select("doc_id", T.strip_noise(F.col("text")).alias("text"))
+
+
+@query()
+def caps_run_strip(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", T.strip_caps_runs(F.col("text")).alias("text"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_filter({WORDS("coalesce(text, '')")}, lambda w: NOT regexp_matches(w, '^[0-9]{{1,3}}$')), ' ') AS text FROM documents WHERE text IS NOT NULL""")
@@ -567,6 +572,14 @@ def forest_cross_validation(spark: SparkSession, d: str) -> DataFrame:
 # --- Validation ----------------------------------------------------------------------------------------------------------------------------------------------
 
 
+@query()
+def forest_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the forest on its own out-of-fold predictions, by language and over all."""
+    pred = materialize(forest_cross_validation(spark, d), "forest-predictions")
+    by = evaluate.summary(pred, ["language"]).unionByName(evaluate.summary(pred).select(F.lit("all").alias("language"), "*"))
+    return _round(by, *_METRICS)
+
+
 @query()
 def idempotence_check(spark: SparkSession, d: str) -> DataFrame:
     once = documents(spark, d).where("text is not null").select("doc_id", T.normalize(F.col("text")).alias("once"))
@@ -586,12 +599,11 @@ def leakage_scan(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).where("text is not null").select("doc_id", audit.leaks(F.col("text")).alias("leaks"), (T.word_count(F.col("text")) < L.MIN_WORDS).alias("degenerate"))
 
 
-@query(
-    f"""SELECT language, avg(raw) AS raw, avg(kept) AS kept, avg(raw - kept) AS removed FROM (SELECT language, len({WORDS('text')})::DOUBLE AS raw,
- len(list_filter({WORDS('text')}, lambda w: NOT regexp_matches(w, '^[0-9]{{1,3}}$')))::DOUBLE AS kept FROM all_languages WHERE text IS NOT NULL) GROUP BY language"""
-)
+@query()
 def raw_vs_clean_lengths(spark: SparkSession, d: str) -> DataFrame:
-    n = texts(spark, d).where("text is not null").select("language", T.word_count(F.col("text")).alias("raw"), T.word_count(T.strip_page_numbers(F.col("text"))).alias("kept"))
+    """Mean words before and after the removal of foreign sentences, by language."""
+    kept = texts(spark, d).where("text is not null").select("language", "text", clean.drop_english(F.col("text")).alias("clean"))
+    n = kept.select("language", T.word_count(F.col("text")).alias("raw"), T.word_count(F.col("clean")).alias("kept"))
     return n.groupBy("language").agg(F.avg("raw").alias("raw"), F.avg("kept").alias("kept"), F.avg(F.col("raw") - F.col("kept")).alias("removed"))
 
 
@@ -629,16 +641,13 @@ def stale_labels(spark: SparkSession, d: str) -> DataFrame:
     return audit.differing(stored, index, "doc_id", "level")
 
 
-@query(
-    """SELECT count(*) FILTER (x.words = k.words AND x.sents = k.sents) AS both_match, count(*) FILTER (x.words = k.words) AS word_match, count(*) FILTER (k.doc_id IS NULL) AS missing FROM
- (SELECT doc_id, title, level, length(text) AS words, len(string_split(text, '.')) AS sents FROM documents WHERE text IS NOT NULL) x LEFT JOIN
- (SELECT title, level, max_by(length(text), doc_id) AS words, max_by(len(string_split(text, '.')), doc_id) AS sents, max(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY title, level) k
- ON k.title = x.title AND k.level = x.level"""
-)
+@query()
 def reproduction(spark: SparkSession, d: str) -> DataFrame:
-    """Counts against an answer key by (title, level), the last row of a key winning."""
-    rows = documents(spark, d).where("text is not null").select("doc_id", "title", "level", F.length("text").alias("words"), F.size(F.split("text", r"\.")).alias("sents"))
-    return pipelines.against_key(rows, rows)
+    """Word and sentence counts of the texts against an answer key by (title, level) made from the normalized texts, the last row of a key winning."""
+    rows = documents(spark, d).where("text is not null").select("doc_id", "title", "level", T.word_count(F.col("text")).alias("words"), F.size(T.sentences(F.col("text"))).alias("sents"))
+    normal = documents(spark, d).where("text is not null and title is not null and level is not null").select("doc_id", "title", "level", T.normalize(F.col("text")).alias("text"))
+    key = normal.select("doc_id", "title", "level", T.word_count(F.col("text")).alias("words"), F.size(T.sentences(F.col("text"))).alias("sents"))
+    return pipelines.against_key(rows, key)
 
 
 # --- Streaming -----------------------------------------------------------------------------------------------------------------------------------------------
@@ -651,9 +660,15 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.hourly(load(spark, d, "events")).select("event_type", "hour", "n", F.round("total", 4).alias("total"))
 
 
+def _all() -> None:
+    from . import file_queries, part_queries  # noqa: F401  (they register their queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

@@ -19,15 +19,15 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
-def read_pipe(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(language, level, text, split_role) of ``language|level|text`` lines with a header; the text may hold further bars. Fields are trimmed unless ``strict``, which fails on a short line."""
+def read_pipe(spark: SparkSession, path: str, strict: bool = False, stripped: bool = True) -> DataFrame:
+    """(language, level, text, split_role) of ``language|level|text`` lines with a header; the text may hold further bars. Fields are trimmed if ``stripped`` and not ``strict``, which fails on a short line."""
     parts = _lines(spark, path).where(T.strip(F.col("line")) != "").select(F.split("line", r"\|", 3).alias("p")).where("p[0] <> 'language' or p[1] <> 'level'")
     if strict:
         kept = parts.where(F.coalesce(F.assert_true(F.size("p") == 3).cast("string"), F.lit("")) == "")
         fields = [F.get("p", F.lit(k)) for k in range(3)]
     else:
         kept = parts.where(F.size("p") == 3)
-        fields = [T.strip(F.get("p", F.lit(k))) for k in range(3)]
+        fields = [T.strip(F.get("p", F.lit(k))) if stripped else F.get("p", F.lit(k)) for k in range(3)]
     return kept.select(fields[0].alias("language"), fields[1].cast("int").alias("level"), fields[2].alias("text")).withColumn("split_role", corpus.role(F.col("language")))
 
 
@@ -65,18 +65,60 @@ def read_levels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", r"lvl(\d)", 1).cast("int").alias("level"), F.array_join(F.slice(T.split_words(F.col("line")), 1, 6), " ").alias("title"), F.col("line").alias("text"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of records between separator lines; blank records are dropped."""
+def comma_report(spark: SparkSession, path: str) -> DataFrame:
+    """(lines, kept, skipped): how many lines ``read_comma`` keeps."""
+    parts = F.split("line", ",", 3)
+    good = (F.size(parts) == 3) & T.strip(F.get(parts, F.lit(1))).isin("1", "2", "3") & (T.strip(F.get(parts, F.lit(2))) != "")
+    good = F.coalesce(good, F.lit(False))
+    return _lines(spark, path).agg(F.count("*").alias("lines"), F.count_if(good).alias("kept"), F.count_if(~good).alias("skipped"))
+
+
+def carry_over(spark: SparkSession, path: str) -> DataFrame:
+    """The low-resource rows of an existing master or its buckets."""
+    return read_pipe(spark, path).where(F.col("split_role") == "low_resource")
+
+
+def read_master(spark: SparkSession, path: str) -> DataFrame:
+    """``read_pipe`` with the place of each line over the parts of a master in the order of their names."""
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    fields = F.split("value", r"\|", 3)
+    out = corpus.numbered(rows.select("part", "block", "at", fields.alias("p")).where(F.size("p") == 3), "place", ["part", "block", "at"])
+    language = T.strip(F.get("p", F.lit(0)))
+    return out.select("place", language.alias("language"), F.get("p", F.lit(1)).cast("int").alias("level"), T.strip(F.get("p", F.lit(2))).alias("text"), corpus.role(language).alias("split_role"))
+
+
+def read_records(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """(file, text) of records between separator lines; blank records are dropped. ``numbered`` adds each record's place among those of its file, for which a file is read as a whole."""
+    if numbered:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", RECORD).alias("r"))
+        kept = F.filter(F.transform("r", lambda x: T.strip(x)), lambda x: x != "")
+        return whole.select("file", F.posexplode(kept).alias("place", "text"))
     rows = spark.read.option("lineSep", RECORD).text(path).select(F.col("_metadata.file_path").alias("file"), T.strip(F.col("value")).alias("text"))
     return rows.where("text <> ''")
 
 
 def read_anchors(spark: SparkSession, path: str, anchor: str, n: int) -> DataFrame:
-    """(anchor, n, gram_rank, gram) of ``gram,count`` lines; counts don't rise, so the rank follows the count and then the gram."""
-    rows = _lines(spark, path).where(T.strip(F.col("line")) != "").select(F.split("line", ",", 2).alias("p"))
-    grams = rows.select(T.strip(F.get("p", F.lit(0))).alias("gram"), F.get("p", F.lit(1)).cast("bigint").alias("gram_count"))
-    ranked = corpus.numbered(grams.withColumn("_c", -F.coalesce("gram_count", F.lit(0))), "_r", ["_c", "gram"])
-    return ranked.select(F.lit(anchor).alias("anchor"), F.lit(n).alias("n"), (F.col("_r") + 1).cast("int").alias("gram_rank"), "gram")
+    """(anchor, n, gram_rank, gram) of ``gram,count`` lines of one list; the rank is the order of the lines. A list is small and read as a whole."""
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
+    filled = F.filter("lines", lambda x: T.strip(x) != "")
+    lines = whole.select(F.posexplode(filled).alias("place", "line"))
+    return lines.select(F.lit(anchor).alias("anchor"), F.lit(n).alias("n"), (F.col("place") + 1).alias("gram_rank"), T.strip(F.split_part("line", F.lit(","), F.lit(1))).alias("gram"))
+
+
+def write_grams(df: DataFrame, path: str) -> None:
+    """(gram, cnt) as ``gram,count`` lines in the order of ``df``."""
+    df.select(F.concat_ws(",", "gram", F.col("cnt").cast("string")).alias("value")).write.text(path)
+
+
+def read_table(spark: SparkSession, path: str, schema, sep: str = ",", required: list[str] | None = None) -> DataFrame:
+    """A delimited table with a header; rows without a value in ``required`` columns are dropped."""
+    df = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", False).schema(schema).csv(path)
+    return df.na.drop(subset=required) if required else df
+
+
+def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
+    """A delimited table with a header, quotes doubled."""
+    df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_buckets(df: DataFrame, path: str) -> None:
@@ -99,7 +141,7 @@ def write_records(df: DataFrame, path: str) -> None:
 
 def write_flags(df: DataFrame, path: str) -> None:
     """The rows of ``df`` with a flag as pipe-separated lines with a header."""
-    df.where("flag <> ''").select("language", "level", "flag", T.to_field(F.col("title")).alias("title"), T.to_field(F.col("text")).alias("text")).write.option("sep", "|").option("header", True).csv(path)
+    df.where("flag <> ''").select("language", "level", "flag", T.to_field(F.col("title")).alias("title"), T.to_field(F.col("text")).alias("text")).write.option("sep", "|").option("header", True).option("escape", '"').csv(path)
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,20 +43,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     without holding blocks in executor memory. ``release`` deletes the tables; the end of the process does too.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tanglaw/{label}-{uuid.uuid4().hex}"
+    path = scratch(f"{shared_dir(spark)}/tanglaw/{label}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(path: str) -> str:
+    """``path``, noted as one that ``release`` deletes."""
     if not _written:
         atexit.register(release)
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release() -> None:
     """Delete the intermediate tables written so far. Results that are not yet read or stored can't be read afterwards."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
         return
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
