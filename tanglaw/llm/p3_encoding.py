@@ -2,8 +2,10 @@
 
 A native scan keeps texts with any character that correct text here doesn't have. For these, characters are mapped back to the bytes of each legacy
 encoding, a byte-structure automaton (compiled as a regular expression over the encoding's characters) finds the maximal spans of well-formed
-multibyte sequences, and these spans alone are decoded; the step repeats while it finds spans, for text that went through it several times. What can't be decoded
-(replacement characters, question marks inside words, stray lead or control characters) is counted as lost.
+multibyte sequences, and these spans alone are decoded; the step repeats while it finds spans, for text that went through it several times (each step makes the text shorter, so it ends). Whether
+a span is more than chance is judged by what comes out, in any script: a single short sequence must give a usual sign or Latin letter, longer spans letters of one script (``coherent``).
+Runs of East Asian characters are mapped back through the double-byte encodings in the same way. What can't be decoded
+(replacement characters, question marks inside words, stray lead or control characters) is counted as lost; question marks in addresses and queries aren't.
 
 Defined results: null and blank texts are no case and stay as they are; NFC and NFD accents are no case; repeated rows are each reported.
 """
@@ -22,19 +24,20 @@ from ..sources.tables import spread
 
 # Legacy encodings in the order in which they are tried.
 ENCODINGS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp866", "koi8_r", "cp1253", "cp1254")
-#: Steps that are undone one after the other at most; each makes the text shorter.
-MOST_STEPS = 8
+WIDE_ENCODINGS = ("gbk", "big5", "shift_jis", "euc_kr")
 
 # Characters of correct text besides ASCII, as the inside of a character class.
 SOUND = "áéíóúàèìòùâêîôûäëïöüñçÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÑÇ“”‘’«»‹›„‚–—…·•©®™°§₱€½¼¾×ə̀-̃̈ ­¬‐‑−​-‏﻿   -  　"
-#: What an original character may be: others are taken for chance, not for a decoded span.
-PLAUSIBLE = regex.compile(r"[ -ſ̀-ͯḀ-ỿ -⁯₠-₿™ʼəǝ−←-⇿─-➿﻿\U0001f300-\U0001faff]+")
+#: What one short sequence may stand for; anything else there is taken for chance.
+USUAL = regex.compile(r"[ -ſ̀-ͯḀ-ỿ -⁯₠-₿™ʼəǝ−←-⇿─-➿﻿\U0001f300-\U0001faff]+")
 #: A native test that every damaged text meets. A question mark inside a word stands for a lost letter.
 SUSPECT = rf"[^\x00-\x7f{SOUND}]|\p{{Ll}}\?\p{{Ll}}|\p{{Lu}}\?\p{{Lu}}|(?:^|\s)\?\p{{L}}|[ÂÄÊËÎÏâäêëîï][\u0080-¿‘’“”–—…•€‹›„‚™]"
 #: A quicker test in Python for characters that may belong to a garbled span.
 GARBLED = re.compile(rf"[^\x00-\x7f{SOUND}]|[ÂÄÊËÎÏâäêëîï][\u0080-\u00bf‘’“”–—…•€‹›„‚™]")
+#: Tokens in which a question mark belongs: addresses, and anything with a query after the mark.
+ADDRESS = regex.compile(r"\S*(?:://|www\.)\S*|\S*\?[\w.%+-]*=\S*|\w+(?:[./]\w+)+/?\?\S*", regex.IGNORECASE)
 LOST = regex.compile(r"�|(?<=\p{Ll})\?(?=\p{Ll})|(?<=\p{Lu})\?(?=\p{Lu}\p{Lu})|(?<=\p{Lu}\p{Lu})\?(?=\p{Lu})|[\u0080-\u0084\u0086-\u009f]|(?<=^|\s)\?(?=\p{Lu}\p{Ll})")
-STRAY = regex.compile(r"Ã|â€|(?<=[a-z])[ÐÑ√├┬Γ\p{Cyrillic}]|[√├┬ΓÐ\p{Cyrillic}](?=[a-z])|Ã‚|Â(?=[\s«»]|$)(?<!\p{Lu}\p{Lu}Â)|\p{Lu}?в(?=Ђ)")
+STRAY = regex.compile(r"(?<!\p{Lu})Ã(?!\p{Lu})|â€|(?<=[a-z])[ÐÑ√├┬Γ\p{Cyrillic}]|[√├┬ΓÐ\p{Cyrillic}](?=[a-z])|Ã‚|Â(?=[\s«»]|$)(?<!\p{Lu}\p{Lu}Â)|\p{Lu}?в(?=Ђ)")
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -60,25 +63,67 @@ TABLES = {name: _table(name) for name in ENCODINGS}
 AUTOMATA = {name: _automaton(table) for name, table in TABLES.items()}
 
 
-def _decoded(text: str, codec: str) -> tuple[str, int]:
-    """``text`` with the spans decoded that ``codec`` garbled, and the number of spans."""
-    table, spans = TABLES[codec], 0
+#: What a span has that is more than a part of a word: a sign, or a capital after a small letter.
+ODD = regex.compile(r"[^\p{L}\p{M}]|\p{Ll}\p{Lu}")
+ASSIGNED = regex.compile(r"[^\p{Cn}\p{Co}\p{Cc}]+")
+SCRIPTS = tuple(
+    regex.compile(rf"(?:[{x}]|[\p{{Common}}\p{{Inherited}}])+")
+    for x in (
+        r"\p{Latin}", r"\p{Greek}", r"\p{Cyrillic}", r"\p{Armenian}", r"\p{Hebrew}", r"\p{Arabic}", r"\p{Syriac}", r"\p{Thaana}", r"\p{Devanagari}", r"\p{Bengali}", r"\p{Gurmukhi}", r"\p{Gujarati}",
+        r"\p{Oriya}", r"\p{Tamil}", r"\p{Telugu}", r"\p{Kannada}", r"\p{Malayalam}", r"\p{Sinhala}", r"\p{Thai}", r"\p{Lao}", r"\p{Tibetan}", r"\p{Myanmar}", r"\p{Georgian}", r"\p{Ethiopic}",
+        r"\p{Khmer}", r"\p{Mongolian}", r"\p{Tagalog}", r"\p{Hangul}", r"\p{Han}\p{Hiragana}\p{Katakana}",
+    )
+)
+
+
+def coherent(fixed: str) -> bool:
+    """Whether a decoded span is assigned characters of one script, and long enough not to be chance: two characters, or one of three bytes or more."""
+    return (len(fixed) > 1 or fixed > "\u07ff") and bool(ASSIGNED.fullmatch(fixed)) and any(s.fullmatch(fixed) for s in SCRIPTS)
+
+
+#: Characters that UTF-8 read as a double-byte encoding becomes.
+WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\uff61-\uff9f\u2e80-\u303f\u20ac\ue000-\uf8ff\p{Greek}\p{Cyrillic}\p{Bopomofo}]{2,}")
+
+
+def _wide(text: str) -> tuple[str, int]:
+    """``text`` with the runs decoded that a double-byte encoding garbled, and their number; three characters must come out, as fewer can be chance."""
+    spans = 0
 
     def undo(m: regex.Match) -> str:
         nonlocal spans
+        for codec in WIDE_ENCODINGS:
+            try:
+                fixed = m.group().encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(fixed) >= 3 and ASSIGNED.fullmatch(fixed) and any(s.fullmatch(fixed) for s in SCRIPTS):
+                spans += 1
+                return fixed
+        return m.group()
+
+    return WIDE.sub(undo, text), spans
+
+
+def _decoded(text: str, codec: str) -> tuple[str, int, int]:
+    """``text`` with the spans decoded that ``codec`` garbled, the number of spans and of the characters in them."""
+    table, spans, size = TABLES[codec], 0, 0
+
+    def undo(m: regex.Match) -> str:
+        nonlocal spans, size
         try:
             fixed = bytes(table[c] for c in m.group()).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
         s = m.start()
-        if len(m.group()) == 2 and m.group()[0].isalpha() and s and text[s - 1].isupper() and fixed in "«»·©®° ­":
+        if len(m.group()) == 2 and m.group()[0].isupper() and s and text[s - 1].isupper() and not fixed.isalpha():
             return m.group()  # a capital with its accent before a sign
-        if not PLAUSIBLE.fullmatch(fixed) and not (STRAY.search(fixed) or _spans(fixed)):
+        if not USUAL.fullmatch(fixed) and not (ODD.search(m.group()) and coherent(fixed)) and not (STRAY.search(fixed) or _spans(fixed)):
             return m.group()
         spans += 1
+        size += len(m.group())
         return fixed
 
-    return AUTOMATA[codec].sub(undo, text), spans
+    return AUTOMATA[codec].sub(undo, text), spans, size
 
 
 def _spans(text: str) -> bool:
@@ -88,16 +133,19 @@ def _spans(text: str) -> bool:
 def restore(text: str) -> tuple[str, int, int]:
     """The text with garbled spans decoded, their number, and the number of characters that stay lost."""
     total = 0
-    for _ in range(MOST_STEPS):
-        best, most, gain = text, 0, 0
-        for codec in ENCODINGS:
-            fixed, n = _decoded(text, codec)
-            if n and len(text) - len(fixed) > gain:
-                best, most, gain = fixed, n, len(text) - len(fixed)
+    while True:
+        best, most, explained = text, 0, 0
+        for codec in ENCODINGS:  # the one that explains the most characters
+            fixed, n, size = _decoded(text, codec)
+            if size > explained:
+                best, most, explained = fixed, n, size
         if not most:
-            break
+            best, most = _wide(text)
+            if not most or len(best) >= len(text):
+                break
         text, total = best, total + most
-    return text, total, len(LOST.findall(text)) + len(STRAY.findall(text))
+    plain = ADDRESS.sub(" ", text) if "?" in text else text
+    return text, total, len(LOST.findall(plain)) + len(STRAY.findall(text))
 
 
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,14 +106,6 @@ def test_common_words(a, b):
     assert p7_overlap.common_words(a, b) == lcs(a, b)
 
 
-def test_fingerprints_are_shared_by_a_common_run():
-    rng = random.Random(8)
-    run = "".join(rng.choice("abcdefg") for _ in range(p7_overlap.GRAM + p7_overlap.MOST - 1)).encode()
-    a, b = (bytes(rng.choice(b"hijklm") for _ in range(600)) + run + bytes(rng.choice(b"nopqrs") for _ in range(n)) for n in (700, 300))
-    assert set(p7_overlap.fingerprints(a)[0]) & set(p7_overlap.fingerprints(b)[0])
-    assert len(p7_overlap.fingerprints(b"short")[0]) == 0
-
-
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("bdgklmnprst") + rng.choice("aiou") for _ in range(rng.randint(2, 5))) for _ in range(600)]
