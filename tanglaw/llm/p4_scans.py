@@ -1,8 +1,9 @@
 """Problem 4: noise in text from scanned pages.
 
 ``Page`` finds, in one text, the lines that are running headers or page numbers and the words cut apart. Misread words are found with a symmetric-delete index over
-the corpus frequency lexicon: words are reduced to a skeleton in which letter pairs that scans take for one letter (rn, ri, ii, vv) are that letter, every word of the lexicon and every
-doubtful word is filed under its skeleton and its skeleton less one letter, and words that meet are compared by a weighted edit distance that knows the confusion pairs. Where several repairs
+the corpus frequency lexicon: words are reduced to a skeleton in which what scans take for one letter (rn, ri, ii, vv, cl, and c for e, q for g) is that letter, every word of the lexicon and every
+doubtful word is filed under its skeleton and its skeleton less one letter, and words that meet are compared by a weighted edit distance that knows the confusion pairs and, for long words, a
+dropped or added letter. Words with signs or digits among their letters meet the lexicon's words that these can stand for. Where several repairs
 remain, the count of the bigram with the word before picks one, then frequency.
 
 Defined results: null and blank texts and texts that don't look scanned have no rows and stay as they are; a compound that owns a hyphen keeps it; repeated rows are each reported. Whole texts are processed.
@@ -28,6 +29,8 @@ SINGLES = (("o", "a"), ("a", "o"), ("e", "c"), ("t", "l"), ("l", "t"), ("b", "h"
 SIGNS = {"@": "a", "0": "o", "1": "il", "!": "il", "|": "il", "5": "s", "9": "g", "6": "b", "8": "b", "$": "s"}
 #: A word counts as misread if the likeliest reading is at least this many times as frequent in texts that weren't scanned, and itself at least LEAST times there.
 RATIO, LEAST = 400, 4
+#: Letters from which on a word may have lost or gained one.
+LONG = 8
 
 HYPHENS = "-­¬‐"
 CUT_END = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{M}}'@!0-9-]*)[{HYPHENS}]\s*$")
@@ -37,7 +40,10 @@ NUMBER = r"(?:[0-9lIOoSsBZ|!]{0,3}[0-9][0-9lIOoSsBZ!]{0,3}|[ivxlcIVXLC]{1,8}|[lI
 PAGE = regex.compile(
     rf"^[\s\W]*(?:(?:page|pahina|panid|pag|pah|pg|p|dahon|bilang|no|numero)\b\.?\s*)?{NUMBER}(?:\s*(?:\||/|of|sa|ng|kan|:)\s*{NUMBER})?[\s\W]*$", regex.IGNORECASE
 )
-TRAILING = regex.compile(rf"^(.*?\p{{L}}.*?)\s{{2,}}{NUMBER}\s*$|^\s*{NUMBER}\s{{2,}}(.*\p{{L}}.*)$")
+# A header's page number after or before it; both patterns read a line once.
+NUMBER_AFTER = regex.compile(rf"(?<!\s)\s{{2,}}+{NUMBER}\s*$")
+NUMBER_BEFORE = regex.compile(rf"^\s*{NUMBER}\s{{2,}}")
+LETTER = regex.compile(r"\p{L}")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MIXED = regex.compile(
     r"(?<![\p{L}\p{N}@!])(?:\p{L}+[@!|$015689]+\p{L}[\p{L}@!|$015689]*|[@!015689]+\p{Ll}[\p{L}@!015689]*\p{L}|\p{L}{2,}[@015689](?![\p{L}\p{N}@!])|\p{L}{2,}!(?=\s+\p{Ll}))"
@@ -61,6 +67,15 @@ def _folded(line: str) -> str:
     return _letters(line.translate(FOLD))
 
 
+def _head(line: str) -> str:
+    """``line`` without a page number that stands apart at its end or beginning."""
+    m = NUMBER_AFTER.search(line)
+    if m and LETTER.search(line, 0, m.start()):
+        return line[: m.start()]
+    m = NUMBER_BEFORE.match(line)
+    return line[m.end() :] if m and LETTER.search(line, m.end()) else line
+
+
 class Page:
     """One text: its lines, their kinds (header, page or none), and the words cut apart."""
 
@@ -75,8 +90,7 @@ class Page:
             s = self.lines[k].strip()
             if len(s) <= 16 and PAGE.match(s) and (any(c.isdigit() for c in s) or len(s) <= 8):
                 self.kind[k] = "page"
-        # No header is that long, and the pattern isn't linear.
-        heads = [TRAILING.sub(lambda m: m.group(1) or m.group(2), x) if len(x) <= 160 else x for x in self.lines]
+        heads = [_head(x) for x in self.lines]
         keys = [_letters(h) for h in heads]
         own, own_folded = _letters(title or ""), _folded(title or "")
         widths = sorted(len(self.lines[k]) for k in full if self.kind[k] is None)
@@ -165,25 +179,26 @@ def _near(a: str, b: str) -> bool:
 
 
 def skeleton(word: Column) -> Column:
-    """A word with letter pairs that scans confuse with one letter as that letter."""
+    """A word with what scans confuse with one letter as that letter."""
     out = F.regexp_replace(word, "rn", "m")
     for read, written in (("ri", "n"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("cl", "d")):
         out = F.regexp_replace(out, read, written)
-    return out
+    return F.translate(out, "cq", "eg")
 
 
 def deletes(word: Column) -> Column:
-    """The skeleton of ``word`` and it less each one letter, with the place of the letter, so that only a substitution meets."""
+    """The skeleton of ``word`` and it less each one letter, for words of three letters or more."""
     s = skeleton(word)
-    less = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit("*"), F.substring(s, i + 1, F.length(s))))
-    return F.array_append(less, s)
+    less = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    return F.array_distinct(F.when(F.length(s) > 2, F.array_append(less, s)).otherwise(F.array(s)))
 
 
 def explains(read: str, word: str, n: int) -> bool:
     """Whether ``read`` is ``word`` with one or two misread places: the weighted edit distance where sure confusions cost 1, letters that also make
-    another word of the language cost 2 (and only count against a frequent ``word``), and all else is out of reach."""
+    another word of the language cost 2 (and only count against a frequent ``word``), a dropped or added letter costs 2 in a word of ``LONG`` letters or more, and all else is out of reach."""
     cost = {(0, 0): 0}
     unsure = 2 if n >= 25 and len(read) > 3 else 9
+    lost = 2 if n >= 25 and len(word) >= LONG else 9
     for i in range(len(read) + 1):
         for j in range(len(word) + 1):
             c = cost.get((i, j), 9)
@@ -191,6 +206,9 @@ def explains(read: str, word: str, n: int) -> bool:
                 continue
             if i < len(read) and j < len(word) and read[i] == word[j]:
                 cost[(i + 1, j + 1)] = min(c, cost.get((i + 1, j + 1), 9))
+            for at in ((i + 1, j), (i, j + 1)):
+                if 0 < at[0] < len(read) and 0 < at[1] < len(word):  # not at either end, where endings of the language are
+                    cost[at] = min(c + lost, cost.get(at, 9))
             for pairs, price in ((PAIRS, 1), (SURE, 1), (SINGLES, unsure)):
                 for a, b in pairs:
                     if read.startswith(a, i) and word.startswith(b, j):
@@ -211,7 +229,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [(doc, k + 1, kind, "", "") for k, kind in enumerate(page.kind) if kind]
                 rows += [(doc, a + 1, "cut", left.lower(), right.lower()) for a, _, left, right in page.cuts]
                 rows += [(doc, k + 1, "char", m.group().lower(), "") for k in page.story for m in MIXED.finditer(page.lines[k])]
-                rows += [(doc, k + 1, "word", w, before) for k, w, before in page.words() if len(w) > 2]
+                rows += [(doc, k + 1, "word", w, before) for k, w, before in page.words() if len(w) > 1]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(columns[k], pa.string()) for k in (2, 3, 4)]], ["doc_id", "line_no", "kind", "word", "other"]
@@ -234,7 +252,7 @@ def lexicon(df: DataFrame, parts: DataFrame) -> DataFrame:
 def misread(parts: DataFrame, lex: DataFrame) -> DataFrame:
     """(word, repair, n) of the words of scanned texts that misread a far more frequent one, by the symmetric-delete index, as a stored table."""
     seen = parts.where("kind = 'word'").select("word").distinct().join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("own"))
-    index = lex.where((F.col("n") >= LEAST) & (F.length("word") > 2) & ~F.col("word").contains("-")).select(F.col("word").alias("repair"), "n", F.explode(deletes(F.col("word"))).alias("key"))
+    index = lex.where((F.col("n") >= LEAST) & (F.length("word") > 1) & ~F.col("word").contains("-")).select(F.col("word").alias("repair"), "n", F.explode(deletes(F.col("word"))).alias("key"))
     filed = seen.select("word", "own", F.explode(deletes(F.col("word"))).alias("key"))
     pairs = filed.join(index, "key").where((F.col("word") != F.col("repair")) & (F.col("own") * RATIO <= F.col("n"))).select("word", "repair", "n").distinct()
 
@@ -264,29 +282,30 @@ def faults(df: DataFrame) -> DataFrame:
     parts = scanned_parts(df)
     lex = lexicon(df, parts)
     wrong = misread(parts, lex).select("word").distinct()
-    plain = parts.where("kind in ('header', 'page', 'char')").select("doc_id", "line_no", "kind")
+    plain = parts.where("kind in ('header', 'page')").select("doc_id", "line_no", "kind")
+    # A word with signs is a misread one only if the lexicon has a word that they can stand for.
+    mixed = parts.where("kind = 'char'").join(readings(parts, lex).select("word").distinct(), "word", "left_semi").select("doc_id", "line_no", "kind")
     hyphen = true_cuts(parts, lex).select("doc_id", "line_no", F.lit("hyphen").alias("kind"))
     char = parts.where("kind = 'word'").join(wrong, "word", "left_semi").select("doc_id", "line_no", F.lit("char").alias("kind"))
-    return plain.unionByName(hyphen).unionByName(char).distinct()
+    return plain.unionByName(mixed).unionByName(hyphen).unionByName(char).distinct()
+
+
+# One letter for all that a sign may stand for, to file words under.
+_SIGNED, _LETTERED = "i@01!|5968$", "laolllsgbbs"
 
 
 def readings(parts: DataFrame, lex: DataFrame) -> DataFrame:
-    """(word, repair, n) of words with signs or digits for letters: every reading that the lexicon has."""
-    mixed = parts.where("kind = 'char'").select("word").distinct()
+    """(word, repair, n) of words with signs or digits for letters: every reading that the lexicon has. Words are filed under one letter for each sign, so no reading is spelled out."""
+    key = lambda c: F.translate(c, _SIGNED, _LETTERED).alias("key")
+    mixed = parts.where("kind = 'char'").select("word").distinct().select("word", key(F.col("word")))
+    met = mixed.join(lex.select(F.col("word").alias("repair"), "n", key(F.col("word"))), "key").select("word", "repair", "n")
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, repairs = [], []
-            for word in batch.column(0).to_pylist():
-                found = [""]
-                for c in word:
-                    found = [f + x for f in found for x in SIGNS.get(c, c)][:64]
-                words += [word] * len(found)
-                repairs += found
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(repairs, pa.string())], ["word", "repair"])
-
-    spelled = mixed.mapInArrow(spell, "word string, repair string")
-    return spelled.join(lex.select(F.col("word").alias("repair"), "n"), "repair").select("word", "repair", "n")
+            keep = [all(b in SIGNS.get(a, a) for a, b in zip(x, y)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(fits, "word string, repair string, n bigint")
 
 
 def chosen(df: DataFrame, parts: DataFrame, lex: DataFrame) -> DataFrame:
