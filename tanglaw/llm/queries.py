@@ -70,6 +70,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_overlap.report(*_p7(spark, d))
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return p7_overlap.coverage(*_p7(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokens.token_ids(load(spark, d, "documents"))
 
@@ -90,7 +94,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_sentences.sentence_spans(load(spark, d, "documents"))
 
 
-QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_levels, p6_found, p6_statistics, p7_found, p7_report, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
+QUERIES = (p1_found, p1_clean, p2_found, p2_labels, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_levels, p6_found, p6_statistics, p7_found, p7_report, p7_coverage, p8_ids, p9_found, p9_matches, p9_clean, p10_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -117,4 +121,10 @@ P9_FOUND = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_KEYED + "SELECT doc_id, line_no FROM keyed JOIN good USING (source, letters)", "p9_found": P9_FOUND}
+    clean = """, cut AS (SELECT doc_id, list(line_no) AS lines FROM keyed JOIN good USING (source, letters) GROUP BY doc_id)
+SELECT a.doc_id, a.language, CASE WHEN c.lines IS NULL THEN a.text ELSE array_to_string(list_filter(string_split(a.text, chr(10)), lambda x, i: NOT list_contains(c.lines, i::INT)), chr(10)) END AS text,
+ coalesce(len(c.lines), 0)::INT AS removed FROM all_languages a LEFT JOIN cut c ON c.doc_id = a.doc_id"""
+    return {
+        "p1_found": P1_KEYED + "SELECT doc_id, line_no FROM keyed JOIN good USING (source, letters)", "p1_clean": P1_KEYED + clean, "p9_found": P9_FOUND,
+        "p9_clean": f"SELECT d.doc_id, d.lang, d.source, d.n_chars FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM ({P9_FOUND}))",
+    }
