@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,14 +223,14 @@ def training_windows(rows: list[tuple[str, str]], languages: list[str], seed: in
     return symbol[np.frombuffer(b"".join(xs), np.uint8)].reshape(len(xs), WINDOW + PAD), np.array(ys), symbol
 
 
-def trained(lines: DataFrame, languages: list[str]) -> Network:
-    """The network trained on the lines (doc_id, source, line) of a bounded sample of the labelled texts, drawn by hash in one scan."""
-    labelled = lines.where(F.col("source").isin(languages) & (F.length("line") >= 30))
-    count = {r[0]: r[1] for r in labelled.groupBy("source").agg(F.approx_count_distinct("doc_id")).collect()}
+def trained(texts: DataFrame, notices: DataFrame, languages: list[str]) -> Network:
+    """The network trained on the lines of a bounded sample of the labelled texts (doc_id, source, text), drawn by hash."""
+    labelled = texts.where(F.col("source").isin(languages))
+    count = {r[0]: r[1] for r in labelled.groupBy("source").agg(F.count("*")).collect()}
     place = F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
     share = F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, SAMPLE / max(count.get(x, 1), 1)))]), F.col("source"))
-    rows = [(r[0], r[1]) for r in labelled.where(place < share).select("source", "line").collect()]
-    x, y, symbol = training_windows(sorted(rows), languages)
+    sample = text_lines(labelled.where(place < share), notices).where(F.length("line") >= 30)
+    x, y, symbol = training_windows(sorted((r[0], r[1]) for r in sample.select("source", "line").collect()), languages)
     net = Network(languages, symbol)
     if len(x):
         net.train(x, y)
@@ -239,6 +240,16 @@ def trained(lines: DataFrame, languages: list[str]) -> Network:
     return net
 
 
+def text_lines(texts: DataFrame, notices: DataFrame) -> DataFrame:
+    """(doc_id, source, line_no, letters, line) of the lines of ``texts`` (doc_id, source, text) that aren't among ``notices``."""
+    lines = texts.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
+    found = p1_notices.line_letters(F.col("line"))
+    # Both columns in one projection, so that the letters are taken once.
+    hashed = F.when(F.length(found) >= p1_notices.LEAST_LETTERS, p1_notices.letters_hash(found)).alias("any")
+    lines = lines.select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), F.length(found).alias("letters"), "line", hashed)
+    return lines.join(small(notices, p1_notices.BROADCAST_LINES), "any", "left_anti").drop("any")
+
+
 def _reader(net: Network):
     columns = [f"s{k}" for k in range(len(net.languages))]
 
@@ -246,6 +257,9 @@ def _reader(net: Network):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
+                part = part.filter(pa.compute.greater(part.column(2), 0))
+                if not part.num_rows:
+                    continue
                 texts = part.column(3).to_pylist()
                 x, owner = windows(texts, net.symbol)
                 share = (x > 0).sum(axis=1).astype(np.float32)
@@ -264,14 +278,9 @@ def line_scores(df: DataFrame, names: DataFrame, notices: DataFrame) -> tuple[Da
     """(doc_id, line_no, letters, strange, s0, s1, ...) of each line with letters that isn't among ``notices``, and the languages that the scores belong to."""
     languages = sorted({r[0].strip().lower() for r in names.select("language").collect() if r[0]})
     texts = spread(df).where("text is not null and doc_id is not null").select("doc_id", p1_notices.source_key(F.col("language")).alias("source"), "text")
-    lines = texts.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), "line", p1_notices.line_letters(F.col("line")).alias("found")).where("found <> ''")
-    hashed = F.when(F.length("found") >= p1_notices.LEAST_LETTERS, p1_notices.letters_hash(F.col("found")))
-    lines = lines.select("doc_id", "source", "line_no", F.length("found").alias("letters"), "line", hashed.alias("any"))
-    lines = lines.join(small(notices, p1_notices.BROADCAST_LINES), "any", "left_anti")
-    net = trained(lines, languages)
+    net = trained(texts, notices, languages)
     run, schema = _reader(net)
-    return lines.select("doc_id", "line_no", "letters", "line").mapInArrow(run, schema), languages
+    return text_lines(texts, notices).select("doc_id", "line_no", "letters", "line").mapInArrow(run, schema), languages
 
 
 def scored(df: DataFrame, names: DataFrame, notices: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from ..sources.tables import small, spread
 from . import p1_notices
 
 #: Texts that rules are learned and held out on, about; drawn by hash.
-SAMPLE = 30_000
+SAMPLE = 15_000
 #: Words called common, of each language.
 COMMON = 30
 #: Orders in which rules are grown; the best on held-out documents is kept.
