@@ -55,17 +55,26 @@ def drop_editorial(text: Column) -> Column:
     return F.when(F.lower(text).contains("pagtambag"), remove(text, L.EDITORIAL)).otherwise(text)
 
 
-def cut_at(text: Column, pattern: str, least: int = 1) -> Column:
-    """``text`` up to the first hit of ``pattern``, if that stands at ``least`` (from 1) or later."""
-    at = F.regexp_instr(text, F.lit(U + pattern))
-    return F.when(at >= least, text.substr(F.lit(1), at - 1)).otherwise(text)
+def before(text: Column, pattern: str) -> Column:
+    """``text`` up to the first hit of ``pattern``, all of it if there is none. No positions are used: Spark counts them in UTF-16 units and takes them as code points, which differ after an emoji."""
+    return F.regexp_replace(text, f"{U}(?:{pattern})(?s:.*)", "")
+
+
+def since(text: Column, pattern: str) -> Column:
+    """``text`` from the first hit of ``pattern`` on, '' if there is none."""
+    return F.regexp_extract(text, f"{U}(?:{pattern})(?s:.*)", 0)
+
+
+def cut_at(text: Column, pattern: str) -> Column:
+    """``text`` up to the first hit of ``pattern``."""
+    return before(text, pattern)
 
 
 def cut_at_earliest(text: Column, patterns: tuple[str, ...], least: int) -> Column:
-    """``text`` up to the earliest of the first hits of the patterns that stand at ``least`` or later."""
-    hits = [F.regexp_instr(text, F.lit(U + p)) for p in patterns]
-    first = F.least(*[F.when(h >= least, h) for h in hits])
-    return F.when(first.isNotNull(), text.substr(F.lit(1), first - 1)).otherwise(text)
+    """``text`` up to the earliest of the first hits of the patterns that stand at ``least`` (from 1) or later."""
+    ends = [F.when(text.rlike(U + p), F.length(before(text, p))) for p in patterns]
+    first = F.least(*[F.when(e >= least - 1, e) for e in ends])
+    return F.when(first.isNotNull(), text.substr(F.lit(1), first)).otherwise(text)
 
 
 def narrative_index(tokens: Column) -> Column:
@@ -98,32 +107,29 @@ def prefix_flag() -> Column:
 
 def walk_publishers(body: Column, flag: Column) -> Column:
     """(body, flag) after at most ten publisher marks: a mark with three or fewer native words after it ends the text; any other is taken out up to the next native word."""
-    raw = U + f"(?i:{L.PUBLISHER})"
-    pattern = F.lit(raw)
-    native = F.lit(r"(?<!\p{L})(?i:" + "|".join(L.NATIVE_FUNC) + r")(?!\p{L})")
+    mark = f"(?i:{L.PUBLISHER})"
+    words = r"(?<!\p{L})(?i:" + "|".join(L.NATIVE_FUNC) + r")(?!\p{L})"
 
     def step(state: Column, _: Column) -> Column:
         text = state["body"]
-        at = F.regexp_instr(text, pattern)
-        after = text.substr(at + F.length(F.regexp_extract(text, raw, 0)), F.length(text))
-        goes_on = F.regexp_instr(after, native)
-        tail = F.regexp_count(after, native) <= 3
-        resumed = F.trim(F.concat(text.substr(F.lit(1), at - 1), F.lit(" "), F.when(goes_on > 0, after.substr(goes_on, F.length(after))).otherwise("")))
-        cut = F.struct(text.substr(F.lit(1), at - 1).alias("body"), state["flag"].alias("flag"), F.lit(True).alias("done"))
+        head = before(text, mark)
+        after = F.regexp_replace(since(text, mark), f"^{U}{mark}", "")
+        tail = F.regexp_count(after, F.lit(words)) <= 3
+        resumed = F.trim(F.concat(head, F.lit(" "), since(after, words)))
+        cut = F.struct(head.alias("body"), state["flag"].alias("flag"), F.lit(True).alias("done"))
         on = F.struct(resumed.alias("body"), F.when(state["flag"] == "", "pub_marker_in_body").otherwise(state["flag"]).alias("flag"), F.lit(False).alias("done"))
         stop = F.struct(text.alias("body"), state["flag"].alias("flag"), F.lit(True).alias("done"))
-        return F.when(state["done"] | (at == 0), stop).when(tail, cut).otherwise(on)
+        return F.when(state["done"] | ~text.rlike(U + mark), stop).when(tail, cut).otherwise(on)
 
     start = F.struct(body.alias("body"), flag.alias("flag"), F.lit(False).alias("done"))
-    return F.when(body.rlike(U + f"(?i:{L.PUBLISHER})"), F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)).otherwise(start)
+    return F.when(body.rlike(U + mark), F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)).otherwise(start)
 
 
 def bio_tail(body: Column) -> Column:
     """``body`` without an author's biography at its end, cut where the marker's sentence begins."""
-    at = F.regexp_instr(body, F.lit(U + L.BIO_TAIL))
-    before = body.substr(F.lit(1), at - 1)
-    ended = F.regexp_extract(before, r"(?s)^(.*[.!?])", 1)
-    return F.when(at > 0, T.strip(F.when(ended != "", ended).otherwise(before))).otherwise(body)
+    head = before(body, L.BIO_TAIL)
+    ended = F.regexp_extract(head, r"(?s)^(.*[.!?])", 1)
+    return F.when(has_bio_tail(body), T.strip(F.when(ended != "", ended).otherwise(head))).otherwise(body)
 
 
 def has_bio_tail(body: Column) -> Column:
@@ -186,8 +192,7 @@ def body_blocks(text: Column) -> Column:
 def cut_questions(body: Column) -> Column:
     """``body`` without a numbered run that holds two question marks or more, and its heading."""
     run = F.regexp_extract(body, U + L.NUMBERED, 0)
-    at = F.regexp_instr(body, F.lit(U + L.NUMBERED))
-    return F.when((at > 0) & (F.regexp_count(run, F.lit(r"\?")) >= 2), F.regexp_replace(body.substr(F.lit(1), at - 1), U + L.QA_HEAD, "")).otherwise(body)
+    return F.when((run != "") & (F.regexp_count(run, F.lit(r"\?")) >= 2), F.regexp_replace(before(body, L.NUMBERED), U + L.QA_HEAD, "")).otherwise(body)
 
 
 def clean_pages(df: DataFrame) -> DataFrame:
@@ -237,8 +242,8 @@ def clean_tagalog(df: DataFrame) -> DataFrame:
     out = _text(df).withColumn("_two", F.col("_t").rlike(U + L.BIKOL_SIGNAL)).withColumn("_t", remove(T.basic_clean(F.col("_t")), L.TL_CONTAINER_JAVA, ""))
     out = out.withColumn("_t", drop_english(drop_canvas(F.col("_t"))))
     out = out.withColumn("_t", remove(remove(F.col("_t"), L.TL_BOILERPLATE), L.TL_LABEL)).withColumn("_t", T.collapse(remove(remove(F.col("_t"), L.TL_CREDIT_JAVA), L.TL_STRUCTURE)))
-    at = F.regexp_instr(F.col("_t"), F.lit(U + L.TL_INSTITUTION))
-    out = out.withColumn("_lead", (at > 0) & (at <= 60)).withColumn("_t", F.when(F.col("_lead"), F.col("_t").substr(at, F.length("_t"))).otherwise(F.col("_t")))
+    lead = F.col("_t").rlike(U + L.TL_INSTITUTION) & (F.length(before(F.col("_t"), L.TL_INSTITUTION)) < 60)
+    out = out.withColumn("_lead", lead).withColumn("_t", F.when(F.col("_lead"), since(F.col("_t"), L.TL_INSTITUTION)).otherwise(F.col("_t")))
     out = with_start(out, "_t").withColumn("_t", F.when(F.col("_lead"), F.col("body")).otherwise(F.col("_t"))).drop("body", "skipped", "started")
     out = out.withColumn("_b", T.strip_page_numbers(cut_at_earliest(F.col("_t"), (L.TL_QUESTIONS, L.TL_PUBLISHER, L.TL_INSTITUTION), 41)))
     out = with_start(out, "_b").withColumn("_f", prefix_flag()).withColumn("_b", cut_at(bio_tail(F.col("body")), L.TL_PUBLISHER)).withColumn("narrative", T.to_field(F.col("_b")))
@@ -330,6 +335,14 @@ def strip_container(text: Column, level: Column) -> Column:
     return F.when(F.regexp_extract(text, start, 1) == level.cast("string"), F.regexp_replace(text, start, "")).otherwise(text)
 
 
+def cut_trailing_junk(text: Column) -> Column:
+    """``text`` up to its last sentence that is no question and has three words or more; '' if it has none."""
+    sentences = F.split(text, rf"(?<=[.!?]){L.WS}+")
+    good = F.transform(sentences, lambda s: ~(T.strip(s).rlike(r"\?$") | (F.size(F.filter(T.split_words(s), lambda w: w.rlike(r"\p{L}"))) < 3)))
+    last = F.size(good) - F.array_position(F.reverse(good), True).cast("int") + 1
+    return F.when(F.array_contains(good, True), F.array_join(F.slice(sentences, F.lit(1), F.greatest(last, F.lit(1))), " ")).otherwise("")
+
+
 def clean_levels(df: DataFrame) -> DataFrame:
     """The cleaner of per-level Tagalog records (level, text); a record without a story becomes empty."""
     columns = df.columns
@@ -348,10 +361,7 @@ def clean_levels(df: DataFrame) -> DataFrame:
     story = F.array_join(F.slice(F.col("_s"), F.greatest(first, F.lit(1)), F.greatest(F.size("_s"), F.lit(1))), " ")
     out = out.withColumn("_b", F.when(gate, T.collapse(story)).otherwise(""))
     out = out.withColumn("_b", cut_at_earliest(F.col("_b"), (L.LEVEL_TAIL, L.LEVEL_PUBLISHER), 41)).withColumn("_b", T.strip(strip_leading_names(F.col("_b"))))
-    junk = lambda s: T.strip(s).rlike(r"\?$") | (F.size(F.filter(T.split_words(s), lambda w: w.rlike(r"\p{L}"))) < 3)
-    good = F.transform(sentences("_b"), lambda s: ~junk(s))
-    last = F.size(good) - F.array_position(F.reverse(good), True).cast("int") + 1
-    kept = F.when(F.array_contains(good, True), F.array_join(F.slice(sentences("_b"), F.lit(1), F.greatest(last, F.lit(1))), " ")).otherwise("")
+    kept = cut_trailing_junk(F.col("_b"))
     return _done(out.withColumn("narrative", T.collapse(kept)).withColumn("flag", F.when(F.col("narrative") == "", "empty").otherwise("")), columns)
 
 

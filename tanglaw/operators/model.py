@@ -44,3 +44,27 @@ def cross_validated(df: DataFrame, columns: tuple[str, ...], trees: int = 200, d
         part = model.transform(table.where(F.col("fold") == fold)).select("doc_id", "language", "fold", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _perceptron_part(train: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(doc_id, language, fold, y_true, y_pred) of ``rows`` by a perceptron trained on ``train``, both scaled by ``train`` alone."""
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features")
+    model = perceptron(len(columns)).fit(vectors.transform(standardize(train, train, columns)))
+    told = model.transform(vectors.transform(standardize(train, rows, columns)))
+    return told.select("doc_id", "language", "fold", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+def perceptron_cross_validated(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Out-of-fold predictions of a perceptron on ``columns`` of ``df`` (doc_id, language, label from 0, fold and the columns)."""
+    table = materialize(df.select("doc_id", "language", "fold", F.col("label").cast("double").alias("label"), *columns), "model-rows")
+    out = None
+    for fold in range(L.FOLDS):  # five models, each trained on the cluster
+        part = _perceptron_part(table.where(F.col("fold") != fold), table.where(F.col("fold") == fold), columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def transferred(train: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Predictions for ``rows`` of languages that ``train`` doesn't have (both with doc_id, language, label from 0, fold and the columns)."""
+    keep = lambda df: df.select("doc_id", "language", "fold", F.col("label").cast("double").alias("label"), *columns)
+    return _perceptron_part(materialize(keep(train), "model-rows"), keep(rows), columns)

@@ -295,3 +295,107 @@ def standardize_by_fold(spark: SparkSession, d: str) -> DataFrame:
     """Each fold scaled by the mean and deviation of the other folds; these come from sums of the folds, in one pass."""
     rows = trad_features(spark, d).select("doc_id", F.col("mean_word_len").alias("x"), (F.col("doc_id") % 5).cast("int").alias("fold"))
     return pipelines.standardized_by_fold(rows, "x").select("doc_id", "fold", F.round("z", 6).alias("z"))
+
+
+# --- Composed cleaners and their folds over tokens -------------------------------------------------------------------------------------------------------------
+
+_NATIVE_WORD = "|".join(L.NATIVE_FUNC)
+_PUB = f"(?i:{RE(L.PUBLISHER)})"
+_MARK = f"regexp_extract(body, '{_PUB}', 0)"
+_BEFORE = f"regexp_replace(body, '{_PUB}(?s:.*)', '')"
+_AFTER = f"substr(body, length({_BEFORE}) + length({_MARK}) + 1)"
+_RESUMED = r"regexp_replace(after, '(?is)^(?:.*?[^\p{L}])??((?:" + _NATIVE_WORD + r")(?:[^\p{L}].*)?)$', '\1')"
+
+
+@query(
+    f"""WITH RECURSIVE {RAW}, w AS (SELECT doc_id, t AS body, '' AS flag, false AS done, 0 AS k FROM p
+UNION ALL SELECT doc_id, CASE WHEN NOT hit THEN body WHEN tail THEN before ELSE trim(before || ' ' || CASE WHEN natives > 0 THEN {_RESUMED} ELSE '' END) END,
+ CASE WHEN hit AND NOT tail AND flag = '' THEN 'pub_marker_in_body' ELSE flag END, NOT hit OR tail, k + 1
+ FROM (SELECT *, natives <= 3 AS tail FROM (SELECT *, len(list_filter(regexp_extract_all(lower(after), '\\p{{L}}+'), lambda x: list_contains({LIST(L.NATIVE_FUNC)}, x))) AS natives
+ FROM (SELECT doc_id, body, flag, k, regexp_matches(body, '{_PUB}') AS hit, {_BEFORE} AS before, {_AFTER} AS after FROM w WHERE NOT done AND k < 10))))
+SELECT doc_id, arg_max(body, k) AS text, arg_max(flag, k) AS flag FROM w GROUP BY doc_id"""
+)
+def publisher_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The walk over publisher marks of the texts, each with a mark before and after it."""
+    out = planted(spark, d).withColumn("s", clean.walk_publishers(F.col("t"), F.lit("")))
+    return out.select("doc_id", F.col("s.body").alias("text"), F.col("s.flag").alias("flag"))
+
+
+_NAME_END = r"[.,!?\"''’()\[\]:;\-–—]"
+_CORE = f"regexp_replace(token, '^{_NAME_END}+|{_NAME_END}+$', '', 'g')"
+_TITLED = f"regexp_matches(core, '^\\p{{Lu}}') AND NOT list_contains({LIST(L.LEVEL_NATIVE)}, lower(core))"
+TOKEN_ROWS = f"""x AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {WORDS('t')} AS l FROM p)),
+c AS (SELECT *, {_CORE} AS core FROM x)"""
+
+
+@query(
+    f"""WITH {RAW}, {TOKEN_ROWS}, f AS (SELECT doc_id, i, token, {_TITLED} AND NOT (regexp_matches(core, '\\p{{Lu}}') AND upper(core) = core) AS name FROM c),
+b AS (SELECT *, CASE WHEN name AND coalesce(lag(name) OVER o, false) AND NOT coalesce(regexp_matches(lag(token) OVER o, '[.!?]$'), false) THEN 0 ELSE 1 END AS fresh FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS size FROM g)
+SELECT p.doc_id, coalesce(string_agg(token, ' ' ORDER BY i) FILTER (NOT (name AND size >= 4)), '') AS text FROM p LEFT JOIN n ON n.doc_id = p.doc_id GROUP BY p.doc_id"""
+)
+def name_run_strip(spark: SparkSession, d: str) -> DataFrame:
+    return planted(spark, d).select("doc_id", clean.strip_name_runs(F.col("t")).alias("text"))
+
+
+@query(
+    f"""WITH {RAW}, {TOKEN_ROWS}, f AS (SELECT doc_id, i, token, {_TITLED} AS name FROM c),
+s AS (SELECT doc_id, coalesce(min(i) FILTER (i <= 14 AND NOT name) - 1, least(count(*), 14)) AS names, count(*) AS n, min(token) FILTER (i = 1) AS one, min(token) FILTER (i = 2) AS two FROM f GROUP BY doc_id),
+q AS (SELECT *, regexp_replace(one, '^[\".,!?]+|[\".,!?]+$', '', 'g') AS stub FROM s),
+r AS (SELECT doc_id, CASE WHEN names >= 2 THEN names WHEN n > 1 AND length(stub) <= 2 AND NOT list_contains({LIST("si sa ng ay na at ni o ba pa po ho ka ko mo a".split())}, lower(stub)) AND regexp_matches(two, '^\\p{{Lu}}') THEN 1 ELSE 0 END AS cut FROM q)
+SELECT p.doc_id, CASE WHEN coalesce(cut, 0) > 0 THEN array_to_string(({WORDS('t')})[cut + 1:], ' ') ELSE t END AS text FROM p LEFT JOIN r ON r.doc_id = p.doc_id"""
+)
+def leading_name_strip(spark: SparkSession, d: str) -> DataFrame:
+    return planted(spark, d).select("doc_id", clean.strip_leading_names(F.col("t")).alias("text"))
+
+
+@query(
+    f"""WITH {RAW}, x AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS place FROM (SELECT doc_id, {SENTENCE_LIST} AS l FROM p)),
+g AS (SELECT *, NOT (regexp_matches({STRIP('s')}, '\\?$') OR len(list_filter({WORDS('s')}, lambda w: regexp_matches(w, '\\p{{L}}'))) < 3) AS good FROM x),
+e AS (SELECT *, max(place) FILTER (good) OVER (PARTITION BY doc_id) AS last FROM g)
+SELECT doc_id, coalesce(string_agg(s, ' ' ORDER BY place) FILTER (place <= last), '') AS text FROM e GROUP BY doc_id"""
+)
+def trailing_junk_cut(spark: SparkSession, d: str) -> DataFrame:
+    return planted(spark, d).select("doc_id", clean.cut_trailing_junk(F.col("t")).alias("text"))
+
+
+def _is_name(x: str) -> str:
+    name = L.NAME_BLOCK.replace("'", "''")
+    return (
+        f"(length({COLLAPSE(x)}) <= 60 AND regexp_matches({COLLAPSE(x)}, '{name}') AND NOT regexp_matches({COLLAPSE(x)}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(L.PHIL_FUNC)})(?:$|[^\\p{{L}}\\p{{N}}_])')"
+        f" AND len({WORDS(COLLAPSE(x))}) >= 2)"
+    )
+
+
+def _field(x: str) -> str:
+    return f"replace({COLLAPSE(x)}, '|', '/')"
+
+
+_BASIC = SQL["basic_clean_documents"].split("SELECT doc_id, ", 1)[1].rsplit(" AS text FROM documents", 1)[0]
+_RUN = f"regexp_extract(b, '{RE(L.NUMBERED)}', 0)"
+SQL["clean_page_corpus"] = f"""WITH a AS (SELECT doc_id, {_BASIC} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+c AS (SELECT doc_id, {_guarded('canvas', 't', L.CANVAS)} AS t FROM (SELECT doc_id, regexp_replace(t, '\\r\\n?', chr(10), 'g') AS t FROM a)),
+k AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\\n{L.WS}*\\n'), lambda b: {STRIP('b')} <> '') AS l FROM c),
+u AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM k), f AS (SELECT doc_id, i, b, i = 1 OR {_is_name('b')} OR regexp_matches({COLLAPSE('b')}, '{RE(L.LEAD_ATTRIBUTION)}') AS skipped FROM u),
+g AS (SELECT doc_id, min(i) FILTER (NOT skipped) AS first FROM f GROUP BY doc_id), h AS (SELECT f.doc_id, string_agg(b, chr(10) ORDER BY i) AS b FROM f JOIN g ON g.doc_id = f.doc_id WHERE i >= first GROUP BY f.doc_id),
+j AS (SELECT k.doc_id, coalesce(b, '') AS b FROM k LEFT JOIN h ON h.doc_id = k.doc_id),
+m AS (SELECT doc_id, {CUT('b', L.BASAHA_TAIL)} AS b FROM j), n AS (SELECT doc_id, {QUESTIONS('b')} AS b FROM m),
+o AS (SELECT doc_id, {_field(REMOVE("replace(b, chr(10), ' ')", L.PAGE_MARKER))} AS b FROM n),
+q AS (SELECT doc_id, regexp_matches(b, '{RE(L.BIO_TAIL)}') AS bio, {_field(BIO('b'))} AS b FROM o),
+r AS (SELECT doc_id, bio, {TITLE_AGAIN('b')} AS again, b FROM q), s AS (SELECT doc_id, bio, again IS NOT NULL AS titled, {_field('coalesce(again, b)')} AS b FROM r),
+v AS (SELECT doc_id, bio, titled, {CAPTION('b')} AS rest, b FROM s), w AS (SELECT doc_id, bio, titled, rest IS NOT NULL AS english, {_field('coalesce(rest, b)')} AS b FROM v)
+SELECT doc_id, b AS narrative, CASE WHEN b = '' THEN 'empty' WHEN regexp_matches(b, '{RE(L.DIGIT_INTERLEAVE)}') THEN 'digit_interleave' WHEN {_RUN} <> '' AND len(regexp_extract_all({_RUN}, '\\?')) < 2 THEN 'numbered_list'
+ WHEN english THEN 'english_caption' WHEN titled THEN 'title_repeat' WHEN bio THEN 'bio_tail' ELSE '' END AS flag FROM w"""
+
+
+@query(
+    f"""WITH {SHAPED}, v AS (SELECT s.doc_id, {TRAD_SQL} FROM s) SELECT vec_id AS doc_id, len(embedding) + 4 AS dims,
+ round(list_sum(embedding::DOUBLE[]) + mean_sentence_len + mean_word_len + polysyll_freq + type_token_ratio, 4) AS total FROM embeddings JOIN v ON v.doc_id = vec_id"""
+)
+def hybrid_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid model's inputs, an embedding and the features of a text in one vector, here by their length and sum."""
+    features = trad_features(spark, d)
+    own = F.array("mean_sentence_len", "mean_word_len", "polysyll_freq", "type_token_ratio")
+    both = load(spark, d, "embeddings", "vec_id", "embedding").join(features.select(F.col("doc_id").alias("vec_id"), own.alias("own")), "vec_id")
+    vector = F.concat(F.col("embedding").cast("array<double>"), "own")
+    return both.select(F.col("vec_id").alias("doc_id"), F.size(vector).alias("dims"), F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

@@ -77,6 +77,12 @@ def fold_features(texts: DataFrame, index: DataFrame, anchors: DataFrame) -> Dat
     return known.withColumn("label", F.col("label") - 1).join(features, "doc_id")
 
 
+def heldout_features(texts: DataFrame, heldout: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, language, label from 0, fold -1 and the fourteen features) of the held-out documents with a sound label."""
+    rows = heldout.where("label in (1, 2, 3)").dropDuplicates(["doc_id"]).join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "language", F.col("label").alias("level"), "text")
+    return features14(materialize(rows, "heldout-texts"), anchors).select("doc_id", "language", (F.col("label") - 1).alias("label"), F.lit(-1).alias("fold"), *FEATURES)
+
+
 def build(df: DataFrame) -> DataFrame:
     """Corpus build in one plan: clean by kind of source, mark, flag duplicates, emit and normalize. ``df`` has doc_id, language, level, title, text."""
     low = T.lower_trim(F.col("language"))

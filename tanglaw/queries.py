@@ -572,6 +572,31 @@ def forest_cross_validation(spark: SparkSession, d: str) -> DataFrame:
 # --- Validation ----------------------------------------------------------------------------------------------------------------------------------------------
 
 
+@query()
+def perceptron_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    from .operators import model
+
+    rows = pipelines.fold_features(texts(spark, d), load(spark, d, "high_resource_index"), load(spark, d, "anchor_ngrams"))
+    return model.perceptron_cross_validated(rows, pipelines.FEATURES)
+
+
+@query()
+def zero_shot_transfer(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics by language of a perceptron trained on the languages of the index and applied to the held-out ones."""
+    from .operators import model
+
+    anchors = load(spark, d, "anchor_ngrams")
+    train = pipelines.fold_features(texts(spark, d), load(spark, d, "high_resource_index"), anchors)
+    pred = model.transferred(train, pipelines.heldout_features(texts(spark, d), load(spark, d, "low_resource_heldout"), anchors), pipelines.FEATURES)
+    return _round(evaluate.summary(materialize(pred, "transferred"), ["language"]), *_METRICS)
+
+
+@query()
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """The whole build: cleaners by language, marks, duplicates, emission, normalization."""
+    return pipelines.build(texts(spark, d, "title"))
+
+
 @query()
 def forest_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the forest on its own out-of-fold predictions, by language and over all."""

@@ -19,3 +19,22 @@ def test_predictions_of_the_index(spark, data):
     want = {r.doc_id: r for r in pipelines.folds(index).collect()}
     assert out.keys() == want.keys() and len(out) > 50 and len(pipelines.FEATURES) == 14
     assert all((r.fold, r.y_true) == (want[d].fold, want[d].label - 1) and r.y_pred in (0, 1, 2) for d, r in out.items())
+
+
+def test_perceptron_and_transfer(spark, data):
+    from tanglaw import queries
+
+    rows = queries.perceptron_cross_validation(spark, data).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) > 0 and {r.y_pred for r in rows} <= {0, 1, 2}
+    held = queries.zero_shot_transfer(spark, data).collect()
+    assert {r.language for r in held} <= {"hiligaynon", "minasbate", "karay-a", "rinconada"} and all(0 <= r.macro_f1 <= 1 for r in held)
+
+
+def test_build_of_the_corpus(spark, data):
+    from tanglaw import queries
+    from tanglaw.sources.tables import load
+
+    out = queries.corpus_build(spark, data)
+    raw = {r.doc_id: r.text for r in load(spark, data, "all_languages").collect()}
+    rows = out.collect()
+    assert rows and all(r.text.strip() and len(r.text.split()) >= 3 and raw[r.doc_id] for r in rows) and len({r.doc_id for r in rows}) == len(rows)
