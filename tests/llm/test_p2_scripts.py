@@ -43,3 +43,15 @@ def test_every_text_has_a_label_and_unknown_scripts_are_told(spark):
     assert [out[k, 0] for k in (200, 201, 202, 203)] == ["other"] * 3 + [None]
     assert out[206, 0] == "tagalog" and out[206, 2] == "other"
     assert sum(out[k, 0] == "tagalog" for k in range(60)) + sum(out[100 + k, 0] == "english" for k in range(60)) > 115
+
+
+def test_spaces_at_the_end_change_nothing():
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("abc de") for _ in range(n))
+    net = p2_language.Network(["a", "b"], p2_language.alphabet([]))
+    net.fold()
+    net.quantize()
+    x, _ = p2_language.windows([line(n) for n in (0, 1, 5, 40, 90, 94, 95, 96, 97, 300) for _ in range(9)], net.symbol)
+    whole = net.pooled(x) @ net.out + net.out_bias
+    whole -= whole.max(axis=1, keepdims=True)
+    assert np.allclose(net.log_probabilities(x), whole - np.log(np.exp(whole).sum(axis=1, keepdims=True)), atol=1e-5)
