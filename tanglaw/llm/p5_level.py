@@ -29,6 +29,8 @@ QUANTILES = (0.1, 0.25, 0.5, 0.7, 0.8, 0.9, 0.95)
 FEATURES = (*(f"q{int(100 * q)}" for q in QUANTILES), "mean")
 #: Labelled texts for the calibration, about.
 CALIBRATION = 20_000
+#: Tokens whose words a task remembers; beyond that it starts anew, which changes nothing but time.
+KEPT = 400_000
 #: How likely the other end of the scale must be before a label of 1 or 3 is called wrong.
 SURE = 0.6
 #: Weight of the shape's distribution, in occurrences of the word.
@@ -96,6 +98,7 @@ class Words:
         self.tokens: dict[str, dict[str, list[int]]] = defaultdict(dict)
         self.number: dict[tuple[str, str], int] = {}
         self.rows: list[tuple[int, int, int]] = []
+        self.held = 0
 
     def _number(self, word: str, language: str) -> int:
         n = self.number.get((language, word))
@@ -113,6 +116,7 @@ class Words:
         for token in text.lower().split():
             found = known.get(token)
             if found is None:
+                self.held += 1
                 found = known[token] = [self._number(w, language) for w in ((token,) if token.isalpha() else p6_quality.WORD.findall(token))]
             out += found
         return out
@@ -135,7 +139,7 @@ def _own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
 
 def grades(texts: list[str | None], languages: list[str | None], levels: list[int | None], words: np.ndarray, shapes: np.ndarray, known: Words) -> np.ndarray:
     """The quantiles and the mean of the word grades of each text, NaN for a text without words."""
-    if len(known.rows) > 1_000_000:
+    if known.held > KEPT:
         known.clear()
     flat: list[int] = []
     size = []
