@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from ..sources.tables import spread
@@ -48,6 +49,9 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         n = max(self.ranks.values()) + 1
+        self.spelled = [b""] * n
+        for token, rank in self.ranks.items():
+            self.spelled[rank] = token
         self.n, self.left, self.right = n, np.arange(n, dtype=np.int64), np.arange(n, dtype=np.int64)
         self.longest = max(map(len, self.ranks))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
@@ -202,6 +206,12 @@ class Vocabulary:
         bad = np.zeros(len(words), bool)
         bad[owner[1:][inner][~self.compatible(tokens[:-1][inner], tokens[1:][inner])]] = True
         out = np.split(tokens.astype(np.int32), np.cumsum(count)[:-1])
+        # Tokens are proposed by hash; what they spell is held against the words.
+        spelled = list(map(self.spelled.__getitem__, tokens.tolist()))
+        if b"".join(spelled) != b"".join(words):
+            end = np.cumsum(count).tolist()
+            for i, word in enumerate(words):
+                bad[i] |= b"".join(spelled[end[i] - int(count[i]) : end[i]]) != word
         for i in np.flatnonzero(bad):
             out[i] = np.array(self.merge(words[i]), np.int32)
         return out
@@ -252,7 +262,7 @@ _encoders: dict[str, Encoder] = {}
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
-            _encoders[path] = Encoder(Vocabulary(path))
+            _encoders[path] = Encoder(Vocabulary(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -265,5 +275,7 @@ def _encoder(path: str):
 
 
 def token_ids(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): the token ids of every row of ``df`` (doc_id, text)."""
-    return spread(df.select("doc_id", "text")).mapInArrow(_encoder(path or vocabulary_path()), "doc_id bigint, ids array<int>")
+    """(doc_id, ids): the token ids of every row of ``df`` (doc_id, text). The vocabulary file goes with the job, so only the driver must have it."""
+    path = path or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(path)
+    return spread(df.select("doc_id", "text")).mapInArrow(_encoder(path), "doc_id bigint, ids array<int>")

@@ -135,6 +135,16 @@ def vocabulary():
     return p8_tokens.Vocabulary(p8_tokens.vocabulary_path())
 
 
+def test_a_wrong_proposal_is_noticed(vocabulary, monkeypatch):
+    words = [b"bata", b" balay", b" nagtanom"]
+    right = [x.tolist() for x in vocabulary.encode(words)]
+    tokens, count = vocabulary.propose(words)
+    swapped = tokens.copy()
+    swapped[-1] = vocabulary.byte[ord("q")]
+    monkeypatch.setattr(vocabulary, "propose", lambda _: (swapped, count))
+    assert [x.tolist() for x in vocabulary.encode(words)] == right
+
+
 def test_words_equal_exact_merging(vocabulary):
     rng = random.Random(5)
     tokens = list(vocabulary.ranks)
