@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -59,7 +60,11 @@ def scratch(path: str) -> str:
 def release() -> None:
     """Delete the intermediate tables written so far. Results that are not yet read or stored can't be read afterwards."""
     context = SparkContext._active_spark_context
-    if context is None or context._jsc is None:
+    if context is None or context._jsc is None:  # stopped: what is on this machine can still go
+        while _written:
+            path = _written.pop().removeprefix("file://").removeprefix("file:")
+            if path.startswith("/"):
+                shutil.rmtree(path, ignore_errors=True)
         return
     jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
     while _written:
