@@ -133,6 +133,8 @@ def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
     for m in CANDIDATE.finditer(text, start):
         s, e = m.span()
         if m.start(2) >= 0:  # a blank line
+            while s > start and text[s - 1].isspace():
+                s -= 1
             if s > start:
                 out.append((start, s))
             start = e

@@ -198,6 +198,8 @@ def test_words(text, want):
         ("में दौड़ा। घर 3.2 देखा।", ["में दौड़ा।", "घर 3.2 देखा।"]),
         ("  \n ", []),
         ("bata (didto?) sa balay.", ["bata (didto?) sa balay."]),
+        ("Pamagat \t\n\nAng bata", ["Pamagat", "Ang bata"]),
+        ("1\t\r\r", ["1"]),
     ],
 )
 def test_sentences(text, want):
