@@ -52,17 +52,19 @@ def letters_hash(letters: Column) -> Column:
     return F.xxhash64(letters)
 
 
-def line_table(df: DataFrame, min_letters: int = LEAST_LETTERS) -> DataFrame:
-    """(doc_id, line_no, sid, h1, h2, any) of every line with enough letters, ``df`` having doc_id, language and text; sid stands for the source."""
+def line_table(df: DataFrame, min_letters: int = LEAST_LETTERS, parts: bool = False) -> DataFrame:
+    """(doc_id, line_no, sid, h1, h2, any) of every line with enough letters, ``df`` having doc_id, language and text; sid stands for the source. With ``parts`` also the part of the text
+    that the line is."""
+    part = [F.length("text").alias("size")] if parts else []
     lines = (
         spread(df.select("doc_id", "language", "text"))
         .where(F.col("text").isNotNull() & F.col("language").isNotNull())
-        .select("doc_id", source_key(F.col("language")).alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", source_key(F.col("language")).alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"), *part)
         .where(F.length("line") >= min_letters)
-        .select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), line_letters(F.col("line")).alias("letters"))
+        .select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), line_letters(F.col("line")).alias("letters"), *([(F.length("line") / F.col("size")).cast("float").alias("part")] if parts else []))
         .where(F.length("letters") >= min_letters)
     )
-    return lines.select("doc_id", "line_no", F.hash("source").alias("sid"), *hashes(F.col("source"), F.col("letters")), letters_hash(F.col("letters")).alias("any"))
+    return lines.select("doc_id", "line_no", F.hash("source").alias("sid"), *hashes(F.col("source"), F.col("letters")), letters_hash(F.col("letters")).alias("any"), *(["part"] if parts else []))
 
 
 def candidates(lines: DataFrame, min_docs: int = 5) -> DataFrame:

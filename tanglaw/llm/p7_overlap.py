@@ -229,6 +229,17 @@ def roles(index: DataFrame, heldout: DataFrame) -> DataFrame:
     return high.unionByName(low).where("doc_id is not null and (train or eval)").groupBy("doc_id").agg(F.bool_or("train").alias("train"), F.bool_or("eval").alias("eval"))
 
 
+def notices(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no) of the lines of problem 1 that are notices in texts. Where whole texts are copied, their own lines are repeated as well: a line isn't a notice if in most of the documents
+    in which it stands repeated lines are so great a part of the text that without them no copy could be seen as one."""
+    lines = materialize(p1_notices.line_table(docs, parts=True), "p1-lines")
+    keys = p1_notices.confirmed(lines).select("h1", "h2")
+    found = materialize(lines.join(small(keys, p1_notices.BROADCAST_LINES), ["h1", "h2"], "left_semi").select("doc_id", "line_no", "h1", "h2", "part"), "p7-repeated")
+    held = found.groupBy("doc_id").agg((F.sum("part") > 1 - SHARE).alias("copy"))
+    copied = found.join(held, "doc_id").groupBy("h1", "h2").agg(F.count_if("copy").alias("n"), F.count("*").alias("all")).where("2 * n > all").select("h1", "h2")
+    return found.join(small(materialize(copied, "p7-copied"), SHARED_PRINTS), ["h1", "h2"], "left_anti").select("doc_id", "line_no")
+
+
 def _classes(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``bodies`` (doc_id, train, eval, body, cid, check), stored, and (cid, train, eval, doc_id, copies) of each class of equal words. Texts are equal if two hashes are; where texts with
     the same first hash have different second ones, each gets a class of its own."""
@@ -245,7 +256,7 @@ def class_pairs(df: DataFrame, index: DataFrame, heldout: DataFrame) -> tuple[Da
     """(a, b, share) of the training classes a and evaluation classes b that overlap, each class with itself included, and the members (doc_id, train, eval, cid) of the classes."""
     docs = df.select("doc_id", "language", "title", "text")
     sides = roles(index, heldout)
-    cut = p1_notices.repeated_lines(docs).join(sides.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
+    cut = notices(docs).join(sides.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
     kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> cut is null or not array_contains(cut, i + 1)), '\n')")
     texts = docs.where("text is not null").join(sides.join(cut, "doc_id", "left"), "doc_id").select("doc_id", "train", "eval", kept.alias("text"), "title")
     found = spread(texts).mapInArrow(_bodies, "doc_id bigint, train boolean, eval boolean, body string").where("body <> ''")

@@ -44,3 +44,40 @@ def test_short_texts(spark):
     train = [["isa", "bukid"], ["isa"], ["ana", "bata", "doon", "niya"], ["puno"]]
     got, want = found(spark, train, [["isa", "bata"], ["ana", "bata", "doon", "siya"], ["puno"], ["isa", "bukid"]])
     assert got == want == {(0, 3), (2, 1), (3, 2)}
+
+
+def stories(spark, texts, language="x"):
+    """The pairs that ``overlaps`` finds and the report's links, for ``texts`` of lines, every second one in training."""
+    rows = [(k, language, None, "\n".join(" ".join(line) for line in lines), "s") for k, lines in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, language string, title string, text string, source string")
+    index = spark.createDataFrame([(k, k, "test" if k % 2 else "train") for k in range(len(texts))], "pos bigint, doc_id bigint, split_role string")
+    none = spark.createDataFrame([], "doc_id bigint")
+    return {(r.doc_id_a, r.doc_id_b) for r in p7_overlap.overlaps(df, index, none).collect()}, sum(r.links or 0 for r in p7_overlap.report(df, index, none).collect())
+
+
+def lines_of(n, words=9):
+    return [[rng.choice(VOCABULARY) for _ in range(words)] for _ in range(n)]
+
+
+def test_texts_copied_so_often_that_their_lines_are_repeated(spark):
+    """Ten copies of a text, five with a line of their own, and ten of a text of one line: all their lines stand in five documents, but aren't notices."""
+    base, one = lines_of(10), lines_of(1, 30)
+    texts = [list(base) for _ in range(10)] + [list(one) for _ in range(10)]
+    for k in range(5):
+        texts[k][k] = lines_of(1)[0]
+    got, links = stories(spark, texts)
+    assert got == {(min(a, b), max(a, b)) for at in (0, 10) for a in range(at, at + 10, 2) for b in range(at + 1, at + 10, 2)} and links == 50
+
+
+def test_copies_that_each_have_a_line_of_their_own(spark):
+    base = lines_of(10)
+    texts = [[lines_of(1)[0] if k == at else line for k, line in enumerate(base)] for at in range(10)]
+    assert stories(spark, texts)[0] == {(min(a, b), max(a, b)) for a in range(0, 10, 2) for b in range(1, 10, 2)}
+
+
+def test_notices_still_make_no_difference(spark):
+    """Short texts with nothing but a notice in common are no copies, and a text with the notice is one of the text without it."""
+    notice = lines_of(1, 12)
+    texts = [lines_of(5) + notice for _ in range(20)] + [notice, notice]
+    texts[1] = texts[0][:-1]
+    assert stories(spark, texts)[0] == {(0, 1)}
