@@ -32,8 +32,14 @@ SHARED_PRINTS = 2_000_000
 SHARE = 0.7
 #: Shared tokens that a pair must have in its prefixes: more makes the prefixes longer and the candidates fewer; the result is the same.
 DEPTH = 24
-#: Classes of a side in a block.
-BLOCK = 1 << 15
+#: Shared tokens that are counted for all pairs of a block, before the others: fewer make the lists that are gone through shorter; the result is the same.
+FIRST = 12
+#: Training classes in a block.
+BLOCK = 1 << 17
+#: Evaluation classes in a block where there are few, and at most.
+OTHERS, MOST_OTHERS = 1 << 15, 1 << 18
+#: Bits of a class's place in its block.
+PLACE = np.uint64(32)
 #: Buckets of the tokens' frequencies, as a power of two; they only decide the order.
 BUCKETS = 19
 
@@ -157,30 +163,59 @@ def _flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return side.column("cid").to_numpy(), side.column("words").to_numpy().astype(np.int64), np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
 
 
+def _firsts(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the tokens of all rows are among the first that must hold ``FIRST`` shared ones, and how many are in each row."""
+    m = np.minimum(n, words - needed(words) + FIRST)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) < np.repeat(m, n), m
+
+
 def _met(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a block whose prefixes share as many tokens as a pair above ``SHARE`` must."""
+    """The pairs (a, b) of a block whose prefixes share as many tokens as a pair above ``SHARE`` must: ``FIRST`` in the first part of each, which is counted for all pairs of lengths that fit,
+    and ``DEPTH`` in the whole, which is counted for the pairs that are left."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if left.num_rows and right.num_rows:
+        left = left.sort_by("words")
         cid, words, token, n = _flat(left)
-        least = needed(words)
-        order = np.argsort(token, kind="stable")
-        token, post = token[order], np.repeat(np.arange(len(n)), n)[order]
-        others, size, read, m = _flat(right)
-        low, high = np.searchsorted(token, read, "left").tolist(), np.searchsorted(token, read, "right").tolist()
-        for k, (end, count) in enumerate(zip(np.cumsum(m).tolist(), m.tolist())):
-            runs = [post[i:j] for i, j in zip(low[end - count : end], high[end - count : end]) if j > i]
-            if not runs:
-                continue
-            shared = np.bincount(np.concatenate(runs), minlength=len(n))
-            own = needed(size[k : k + 1])[0]
-            hit = np.flatnonzero(shared >= min(DEPTH, own))
-            hit = hit[(cid[hit] != others[k]) & (least[hit] <= size[k]) & (own <= words[hit]) & (shared[hit] >= np.minimum(DEPTH, np.maximum(least[hit], own)))]
-            if len(hit):
-                a.append(cid[hit])
-                b.append(np.full(len(hit), others[k]))
+        least, start = needed(words), np.cumsum(n) - n
+        first = _firsts(words, n)[0]
+        post = np.sort(token[first].astype(np.uint64) << PLACE | np.repeat(np.arange(len(n), dtype=np.uint64), n)[first])
+        keys, post = post, (post & np.uint64((1 << 32) - 1)).astype(np.int64)
+        for at in range(0, right.num_rows, 4096):
+            others, size, read, m = _flat(right.slice(at, 4096))
+            own = needed(size)
+            low, high = np.searchsorted(words, own, "left"), np.searchsorted(least, size, "right")  # the lengths that fit
+            use, count = _firsts(size, m)
+            key = read[use].astype(np.uint64) << PLACE
+            i, j = (np.searchsorted(keys, key | np.repeat(x.astype(np.uint64), count)).tolist() for x in (low, high))
+            ends, whole = np.cumsum(count).tolist(), np.cumsum(m).tolist()
+            for k, (end, c, x, y, t) in enumerate(zip(ends, count.tolist(), low.tolist(), high.tolist(), own.tolist())):
+                runs = [post[p:q] for p, q in zip(i[end - c : end], j[end - c : end]) if q > p]
+                if not runs:
+                    continue
+                shared = np.bincount(np.concatenate(runs) - x, minlength=y - x)
+                hit = np.flatnonzero(shared >= min(FIRST, t))
+                if not len(hit):
+                    continue
+                most = np.maximum(least[x + hit], t)
+                hit = x + hit[(shared[hit] >= np.minimum(FIRST, most)) & (cid[x + hit] != others[k])]
+                if not len(hit):
+                    continue
+                own_tokens, sizes = np.sort(read[whole[k] - m[k] : whole[k]]), n[hit]
+                cuts = np.cumsum(sizes) - sizes
+                theirs = token[np.arange(sizes.sum()) + np.repeat(start[hit] - cuts, sizes)]
+                both = np.add.reduceat(np.searchsorted(own_tokens, theirs, "right") - np.searchsorted(own_tokens, theirs, "left"), cuts)
+                hit = hit[both >= np.minimum(DEPTH, np.maximum(least[hit], t))]
+                if len(hit):
+                    a.append(cid[hit])
+                    b.append(np.full(len(hit), others[k]))
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def shares(train: int, near: int) -> tuple[int, int]:
+    """The numbers of shares into which the training and the evaluation classes of a band go; each share of one side meets each of the other in a block of its own."""
+    return -(-train // BLOCK), max(min(8, -(-near // OTHERS)), -(-near // MOST_OTHERS))
+
+
 def candidates(sketch: DataFrame) -> DataFrame:
     """(a, b) of the training and evaluation classes that may share enough words, each pair once, as a stored table."""
     sides = sketch.where("train or eval").groupBy("band").agg(F.count_if("train").alias("t"), F.count_if("eval").alias("e")).collect()
@@ -189,7 +224,7 @@ def candidates(sketch: DataFrame) -> DataFrame:
         for band in (r.band - 1, r.band, r.band + 1):  # lengths in a ratio of SHARE or more are in the same band or the next
             near[band] = near.get(band, 0) + r.e
     use = sorted(k for k in train if train[k] and near[k])
-    rows = [(k, -(-train[k] // BLOCK), -(-near[k] // BLOCK)) for k in use]
+    rows = [(k, *shares(train[k], near[k])) for k in use]
     blocks = F.broadcast(sketch.sparkSession.createDataFrame(rows, "band int, ts int, es int"))  # one row a band
     place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tanglaw.llm import p7_overlap
 
 rng = random.Random(6)
@@ -81,3 +84,27 @@ def test_notices_still_make_no_difference(spark):
     texts = [lines_of(5) + notice for _ in range(20)] + [notice, notice]
     texts[1] = texts[0][:-1]
     assert stories(spark, texts)[0] == {(0, 1)}
+
+
+def test_rows_of_a_large_band_are_sent_to_few_blocks():
+    train, near = 470_000, 1_400_000
+    t, e = p7_overlap.shares(train, near)
+    assert train * e + near * t < 6 * (train + near) and train / t <= 1 << 17 and near / e <= 1 << 18
+
+
+def test_block_counts_only_lengths_that_fit(monkeypatch):
+    """A block gives the pairs that share enough of their first tokens and of all, whatever part is counted first."""
+    side = lambda n: [np.sort(rng_np.choice(400, rng_np.integers(20, 60), replace=False)).astype(np.uint32) for _ in range(n)]
+    rng_np = np.random.default_rng(4)
+    left, right = side(60), side(40)
+    right += [np.sort(np.concatenate((x[: len(x) - 4], x[-4:] + 400))).astype(np.uint32) for x in left[:30]]
+    cut = lambda x: x[: min(len(x), len(x) - int(p7_overlap.needed(np.array([len(x)]))[0]) + p7_overlap.DEPTH)]
+    table = lambda rows, at: pa.table({"cid": np.arange(len(rows)) + at, "words": pa.array([len(x) for x in rows], pa.int32()), "tokens": [cut(x).tobytes() for x in rows]})
+    need = lambda x, y: int(p7_overlap.needed(np.array([max(len(x), len(y))]))[0])
+    want = {(i, 1000 + j) for i, x in enumerate(left) for j, y in enumerate(right) if min(len(x), len(y)) >= need(x, y) and len(np.intersect1d(cut(x), cut(y))) >= min(p7_overlap.DEPTH, need(x, y))}
+    for first in (1, 4, 12, 24):
+        monkeypatch.setattr(p7_overlap, "FIRST", first)
+        met = p7_overlap._met(table(left, 0), table(right, 1000))
+        got = set(zip(met["a"].to_pylist(), met["b"].to_pylist()))
+        assert len(got) == met.num_rows and want >= got and {(i, 1040 + i) for i in range(30)} <= got
+        assert got == want or first < p7_overlap.DEPTH
