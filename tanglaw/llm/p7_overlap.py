@@ -5,8 +5,8 @@ all further work is on class representatives.
 
 Candidates come from an exact prefix filter, which loses no pair. A token is a word with its number among the text's equal words, so that common tokens count words as often as they stand in both.
 Two texts of which the longer has n words must share t = ceil(SHARE n) tokens. With the tokens of each text in one order for all texts, rarest first, the first n - t + DEPTH of
-each text hold at least DEPTH of the shared ones (all of them where t is smaller). Texts of like length (bands) meet in blocks of bounded size, where shared tokens are counted through postings; neither
-a template nor a third of all rows in one family changes what is found, as no token is dropped or replaced. Pairs with enough shared tokens are aligned word by word (longest common
+each text hold at least DEPTH of the shared ones (all of them where t is smaller). Texts of like length (bands) meet in blocks of bounded size, where shared tokens are counted through postings; the
+prefixes are stored once in shares that the blocks read, not sent to each block; neither a template nor a third of all rows in one family changes what is found, as no token is dropped or replaced. Pairs with enough shared tokens are aligned word by word (longest common
 subsequence). At the end classes are expanded to the documents.
 
 Defined results: null and blank texts form no pairs; an index row that stands twice counts once; a document in training and evaluation doesn't pair with itself.
@@ -19,8 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialize, small, spread
 from . import p1_notices, p3_encoding, p4_scans
@@ -212,29 +215,78 @@ def _met(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def shares(train: int, near: int) -> tuple[int, int]:
-    """The numbers of shares into which the training and the evaluation classes of a band go; each share of one side meets each of the other in a block of its own."""
+    """The numbers of shares into which the training and the evaluation classes that a band meets go; each share of one side meets each of the other in a block of its own."""
     return -(-train // BLOCK), max(min(8, -(-near // OTHERS)), -(-near // MOST_OTHERS))
 
 
+def _readable(file: str) -> bool:
+    """Whether Python reads ``file`` where Spark does; not every kind of shared folder is known to it."""
+    try:
+        system, path = fs.FileSystem.from_uri(file)
+        return system.get_file_info(path).is_file
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _share(files: list[str]) -> pa.Table:
+    """The classes in ``files``."""
+    parts = []
+    for file in files:
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as source:
+            parts.append(pq.ParquetFile(source).read(columns=["cid", "words", "tokens"]))
+    return pa.concat_tables(parts)
+
+
+def _met_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield from _met(_share(left), _share(right)).to_batches()
+
+
 def candidates(sketch: DataFrame) -> DataFrame:
-    """(a, b) of the training and evaluation classes that may share enough words, each pair once, as a stored table."""
+    """(a, b) of the training and evaluation classes that may share enough words, each pair once, as a stored table. Each class is stored in one share of its band and side, and blocks read the
+    shares that meet in them, so what is shuffled and stored grows with the classes and not with the blocks."""
+    spark = sketch.sparkSession
     sides = sketch.where("train or eval").groupBy("band").agg(F.count_if("train").alias("t"), F.count_if("eval").alias("e")).collect()
     train, near = {r.band: r.t for r in sides}, {r.band: 0 for r in sides}
     for r in sides:
         for band in (r.band - 1, r.band, r.band + 1):  # lengths in a ratio of SHARE or more are in the same band or the next
             near[band] = near.get(band, 0) + r.e
-    use = sorted(k for k in train if train[k] and near[k])
-    rows = [(k, *shares(train[k], near[k])) for k in use]
-    blocks = F.broadcast(sketch.sparkSession.createDataFrame(rows, "band int, ts int, es int"))  # one row a band
-    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = sketch.where("train").join(blocks, "band").select("band", place("ts").alias("p"), every("es").alias("q"), "cid", "words", "tokens")
-    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    right = sketch.where("eval").select(*[F.col(c).alias(c) for c in ("cid", "words", "tokens")], bands.alias("band")).join(blocks, "band").select("band", every("ts").alias("p"), place("es").alias("q"), "cid", "words", "tokens")
-    met = left.groupBy("band", "p", "q").cogroup(right.groupBy("band", "p", "q")).applyInArrow(_met, "a bigint, b bigint")
+    use = sorted((k for k in train if train[k] and near[k]), key=lambda k: -train[k] * near[k])
+    if not use:
+        return materialize(spark.createDataFrame([], "a bigint, b bigint"), "p7-candidates")
+    counts = F.broadcast(spark.createDataFrame([(r.band, max(1, shares(r.t, r.e)[0]), max(1, -(-r.e // OTHERS))) for r in sides], "band int, ts int, es int"))  # one row a band
+    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int").alias("share")
+    side = lambda name, n: sketch.where(F.col(name)).join(counts, "band").select(F.lit(name).alias("side"), "band", place(n), "cid", "words", "tokens")
+    kept = side("train", "ts").unionByName(side("eval", "es")).repartition("side", "band", "share")
+    files: dict[tuple[str, int], dict[int, list[str]]] = {}
+    stored = materialize(kept, "p7-shares", "side", "band", "share")
+    for file in (names := stored.inputFiles()):
+        of, band, number = re.search(r"/side=(\w+)/band=(\d+)/share=(\d+)/[^/]*$", file).groups()
+        files.setdefault((of, int(band)), {}).setdefault(int(number), []).append(file)
+    blocks = []  # the training classes' share, and the shares of the evaluation classes that it meets
+    for k in use:
+        others = [(band, number) for band in (k - 1, k, k + 1) for number in sorted(files.get(("eval", band), {}))]
+        parts = min(len(others), shares(train[k], near[k])[1])
+        blocks += [(k, number, others[at::parts]) for number in sorted(files["train", k]) for at in range(parts)]
+    if _readable(names[0]):
+        rows = [(files["train", k][number], [x for band, other in met for x in files["eval", band][other]]) for k, number, met in blocks]
+        kind = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("left", "right")])
+        met = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), kind).mapInArrow(_met_files, "a bigint, b bigint")
+    else:
+        met = _sent(stored, blocks)
     return materialize(met, "p7-candidates")
 
 
+def _sent(stored: DataFrame, blocks: list[tuple[int, int, list[tuple[int, int]]]]) -> DataFrame:
+    """(a, b) of ``blocks`` where Python can't read the shared folder: copies of the shares are sent to each of their blocks."""
+    rows = [("train", k, number, at) for at, (k, number, _) in enumerate(blocks)] + [("eval", *x, at) for at, (_, _, met) in enumerate(blocks) for x in met]
+    copies = stored.join(F.broadcast(stored.sparkSession.createDataFrame(rows, "side string, band int, share int, block int")), ["side", "band", "share"])
+    left, right = (copies.where(F.col("side") == x).select(*[F.col(c).alias(c) for c in ("block", "cid", "words", "tokens")]) for x in ("train", "eval"))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_met, "a bigint, b bigint")
+
+
 def common_words(a: list[str], b: list[str]) -> int:
     """The length of the longest common subsequence, in bit-parallel form."""
     where: dict[str, int] = {}
@@ -293,8 +345,9 @@ def class_pairs(df: DataFrame, index: DataFrame, heldout: DataFrame) -> tuple[Da
     sides = roles(index, heldout)
     cut = notices(docs).join(sides.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
     kept = F.expr("array_join(filter(split(text, '\n'), (x, i) -> cut is null or not array_contains(cut, i + 1)), '\n')")
-    texts = docs.where("text is not null").join(sides.join(cut, "doc_id", "left"), "doc_id").select("doc_id", "train", "eval", kept.alias("text"), "title")
-    found = spread(texts).mapInArrow(_bodies, "doc_id bigint, train boolean, eval boolean, body string").where("body <> ''")
+    # Spread before the join: to tell the partitions of a join, Spark runs its shuffles, and then once more for the result.
+    texts = spread(docs).where("text is not null").join(sides.join(cut, "doc_id", "left"), "doc_id").select("doc_id", "train", "eval", kept.alias("text"), "title")
+    found = texts.mapInArrow(_bodies, "doc_id bigint, train boolean, eval boolean, body string").where("body <> ''")
     bodies, classes = _classes(found.withColumns({"cid": F.xxhash64("body"), "check": F.xxhash64(F.lit("second"), "body")}))
     # One document stands for all with the same words.
     many = classes.where("copies > 1").select("cid", "train", "eval", F.col("doc_id").alias("first"))

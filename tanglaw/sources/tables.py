@@ -37,15 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a parquet table into the shared folder and read it back.
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` as a parquet table into the shared folder, with a folder for each value of ``by``, and read it back.
 
     It cuts the lineage, survives the loss of executors, and lets several consumers share one computation
     without holding blocks in executor memory. ``release`` deletes the tables; the end of the process does too.
     """
     spark = df.sparkSession
     path = scratch(f"{shared_dir(spark)}/tanglaw/{label}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -108,3 +108,40 @@ def test_block_counts_only_lengths_that_fit(monkeypatch):
         got = set(zip(met["a"].to_pylist(), met["b"].to_pylist()))
         assert len(got) == met.num_rows and want >= got and {(i, 1040 + i) for i in range(30)} <= got
         assert got == want or first < p7_overlap.DEPTH
+
+
+def shuffled(spark):
+    """The rows that all stages so far have written for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_rows_shuffled_do_not_grow_with_blocks(spark, monkeypatch):
+    """With shares of 20 classes the pairs are the same, and each class is sent to its share only, whether or not Python reads the shared folder."""
+    base = [[rng.choice(VOCABULARY) for _ in range(60)] for _ in range(20)]
+    copies = [[w if rng.random() > 0.05 else rng.choice(VOCABULARY) for w in base[k // 2 % 20]][: rng.randint(50, 60)] for k in range(400)]
+    rows = [(k, k % 2 == 0, k % 2 == 1, " ".join(words)) for k, words in enumerate(copies)]
+    first = spark.createDataFrame(rows, "cid bigint, train boolean, eval boolean, body string")
+    sketch = p7_overlap.sketches(first, np.zeros(1 << p7_overlap.BUCKETS, np.int16))
+    want = {(r.a, r.b) for r in p7_overlap.candidates(sketch).collect()}
+    assert len(want) > 1000
+    for name, most in (("BLOCK", 20), ("OTHERS", 20), ("MOST_OTHERS", 40)):
+        monkeypatch.setattr(p7_overlap, name, most)
+    before = shuffled(spark)
+    found = p7_overlap.candidates(sketch)
+    assert shuffled(spark) - before < 1.5 * len(rows)
+    pairs = [(r.a, r.b) for r in found.collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    monkeypatch.setattr(p7_overlap, "_readable", lambda file: False, raising=False)
+    pairs = [(r.a, r.b) for r in p7_overlap.candidates(sketch).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_texts_are_not_shuffled_to_tell_their_partitions(spark, monkeypatch):
+    """``spread`` asks a table for its partitions, which runs the shuffles of one that is joined."""
+    plans = []
+    monkeypatch.setattr(p7_overlap, "spread", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    assert stories(spark, [lines_of(3)] * 2)[0] == {(0, 1)}
+    assert plans and not any("Exchange" in plan for plan in plans)
