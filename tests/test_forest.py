@@ -1,5 +1,7 @@
 import inspect
 
+import numpy as np
+
 from tanglaw.operators import model
 from tanglaw.plans import pipelines
 from tanglaw.sources.tables import load
@@ -38,3 +40,51 @@ def test_build_of_the_corpus(spark, data):
     raw = {r.doc_id: r.text for r in load(spark, data, "all_languages").collect()}
     rows = out.collect()
     assert rows and all(r.text.strip() and len(r.text.split()) >= 3 and raw[r.doc_id] for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+
+
+def table_of(spark, n=400, parts=3):
+    """Rows of three classes that two of four features tell, with other classes for every tenth row."""
+    rows = [(k, "x", k % 5, (k // 5) % 3 if k % 10 else k % 3, float((k // 5) % 3 + k % 7 / 10), float(k % 11), float(k % 13), float(-((k // 5) % 3))) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id bigint, language string, fold int, label int, a double, b double, c double, d double").repartition(parts, "b", "doc_id")
+
+
+def jobs(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+
+def test_jobs_do_not_grow_with_levels(spark):
+    """Trees are grown within tasks; a job for each level of each fold took minutes on small tables."""
+    before = jobs(spark)
+    rows = model.cross_validated(table_of(spark), ("a", "b", "c", "d"), trees=20).collect()
+    assert jobs(spark) - before <= 12
+    assert len({r.doc_id for r in rows}) == len(rows) == 400 and sum(r.y_true == r.y_pred for r in rows) > 350
+
+
+def test_predictions_do_not_depend_on_partitions(spark):
+    one, other = ({(r.doc_id, r.y_pred) for r in model.cross_validated(table_of(spark, parts=n), ("a", "b", "c", "d"), trees=9).collect()} for n in (1, 4))
+    assert one == other
+
+
+def test_local_and_distributed_forest_agree(spark, monkeypatch):
+    local = {r.doc_id: r.y_pred for r in model.cross_validated(table_of(spark), ("a", "b", "c", "d"), trees=20).collect()}
+    monkeypatch.setattr(model, "LOCAL", 0)
+    spread = {r.doc_id: r.y_pred for r in model.cross_validated(table_of(spark), ("a", "b", "c", "d"), trees=20).collect()}
+    assert local.keys() == spread.keys() and sum(local[d] == spread[d] for d in local) > 0.95 * len(local)
+
+
+def test_a_tree_obeys_its_rules(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes, label = rng.integers(0, 32, (600, 5)).astype(np.uint8), rng.integers(0, 3, 600)
+    votes = model.grow(codes, label, codes, 30, np.random.default_rng(1))
+    assert (abs(votes.sum(1) - model.VOTE) <= 3).all() and (votes.argmax(1) == label).mean() > 0.5
+    # No levels: every row gets the classes' shares of the bag, which weigh the same but for the draw.
+    flat = model.grow(codes, label, codes, 0, np.random.default_rng(1))
+    assert len(np.unique(flat, axis=0)) == 1 and abs(flat[0] / model.VOTE - 1 / 3).max() < 0.1
+    # Leaves hold two rows of the bag or more.
+    alone = model.grow(np.array([[0], [9]], np.uint8), np.array([0, 1]), np.array([[0], [9]], np.uint8), 30, np.random.default_rng(0))
+    assert (alone[0] == alone[1]).all() or np.random.default_rng(0).poisson(1.0, 2).min() >= 2
+    # A level of many nodes is done in groups.
+    monkeypatch.setattr(model, "CELLS", 32 * 3 * 8)
+    few = model.grow(codes, label, codes, 30, np.random.default_rng(1))
+    assert (abs(few.sum(1) - model.VOTE) <= 3).all() and (few.argmax(1) == label).mean() > 0.5
