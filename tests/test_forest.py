@@ -88,3 +88,14 @@ def test_a_tree_obeys_its_rules(monkeypatch):
     monkeypatch.setattr(model, "CELLS", 32 * 3 * 8)
     few = model.grow(codes, label, codes, 30, np.random.default_rng(1))
     assert (abs(few.sum(1) - model.VOTE) <= 3).all() and (few.argmax(1) == label).mean() > 0.5
+
+
+def test_metrics_of_the_forest(spark, data):
+    """The whole query runs few jobs, and its rows are those of the out-of-fold predictions."""
+    from tanglaw import queries
+
+    before = jobs(spark)
+    rows = {r.language: r for r in queries.forest_metrics(spark, data).collect()}
+    assert jobs(spark) - before <= 60
+    want = pipelines.folds(load(spark, data, "high_resource_index")).groupBy("language").count().collect()
+    assert {r.language: rows[r.language].n_docs for r in want} | {"all": sum(r["count"] for r in want)} == {k: r.n_docs for k, r in rows.items()}
