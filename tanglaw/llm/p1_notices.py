@@ -56,13 +56,14 @@ def line_table(df: DataFrame, min_letters: int = LEAST_LETTERS, parts: bool = Fa
     """(doc_id, line_no, sid, h1, h2, any) of every line with enough letters, ``df`` having doc_id, language and text; sid stands for the source. With ``parts`` also the part of the text
     that the line is."""
     part = [F.length("text").alias("size")] if parts else []
+    # The letters are made within the generator: a filter on a column made after it would be pushed down and make them twice.
+    each = F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n"), F.when(F.length(x) >= min_letters, line_letters(x)).alias("letters")))
     lines = (
         spread(df.select("doc_id", "language", "text"))
         .where(F.col("text").isNotNull() & F.col("language").isNotNull())
-        .select("doc_id", source_key(F.col("language")).alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"), *part)
-        .where(F.length("line") >= min_letters)
-        .select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), line_letters(F.col("line")).alias("letters"), *([(F.length("line") / F.col("size")).cast("float").alias("part")] if parts else []))
-        .where(F.length("letters") >= min_letters)
+        .select("doc_id", source_key(F.col("language")).alias("source"), F.posexplode(each).alias("pos", "line"), *part)
+        .where(F.length("line.letters") >= min_letters)
+        .select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), F.col("line.letters").alias("letters"), *([(F.col("line.n") / F.col("size")).cast("float").alias("part")] if parts else []))
     )
     return lines.select("doc_id", "line_no", F.hash("source").alias("sid"), *hashes(F.col("source"), F.col("letters")), letters_hash(F.col("letters")).alias("any"), *(["part"] if parts else []))
 

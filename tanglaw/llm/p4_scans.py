@@ -53,7 +53,7 @@ SIGN_OF_SCAN = rf"\p{{L}}[{HYPHENS}]\s*\n|\p{{L}}[{HYPHENS}] \p{{Ll}}|(?m:^[^\p{
 
 
 def _letters(line: str) -> str:
-    return "".join(c for c in line.lower() if c.isalpha())
+    return "".join(filter(str.isalpha, line.lower()))
 
 
 #: One letter for all that a scan may make of it, to compare headers.
@@ -118,6 +118,8 @@ class Page:
         self.story = [k for k in full if self.kind[k] is None]
         self.cuts: list[tuple[int, int, str, str]] = []  # first line, second line, left, right
         for i, k in enumerate(self.story):
+            if not any(c in self.lines[k] for c in HYPHENS):  # no cut is without one
+                continue
             for m in CUT_IN.finditer(self.lines[k]):
                 self.cuts.append((k, k, m.group(1) or m.group(3), m.group(2) or m.group(4)))
             m = CUT_END.search(self.lines[k])

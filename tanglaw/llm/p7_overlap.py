@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..sources.tables import materialize, small, spread
 from . import p1_notices, p3_encoding, p4_scans
-from .p9_leaks import words
+from .p9_leaks import NON_ASCII, words
 
 #: Classes that may be broadcast.
 SHARED_PRINTS = 2_000_000
@@ -58,26 +58,27 @@ JOINED = re.compile(r"([^\W\d_])[-¬\u00ad‐]\s*\n\s*(?=[a-zñáéíóúàèì
 
 
 CUT = re.compile(r"[-\u00ad¬‐][^\S\n]*\n")
+#: ``SIGN`` and ``CUT`` for the hyphen alone; patterns that begin with one sign are searched for fast.
+PLAIN_SIGN, PLAIN_CUT = re.compile(r"-\s"), re.compile(r"-[^\S\n]*\n")
 
 
 def _maybe_scanned(text: str) -> bool:
     """Whether a text has a sign at a line's end or a line short enough for a page number: a cheap test before ``Page``."""
-    return bool(CUT.search(text)) or any(0 < len(line) <= 16 for line in text.split("\n"))
+    cut = PLAIN_CUT.search(text) or (any(c in text for c in "\u00ad¬‐") and CUT.search(text))
+    return bool(cut) or any(0 < len(line) <= 16 for line in text.split("\n"))
 
 
 def body(text: str, title: str | None) -> str:
     """The words of ``text`` as they are compared, between spaces."""
-    chars = set(text)
-    if not chars <= SOUND and p3_encoding.GARBLED.search(text):
+    if not text.isascii() and not SOUND.issuperset("".join(NON_ASCII.findall(text))) and p3_encoding.GARBLED.search(text):
         text = p3_encoding.restore(text)[0]
-        chars = set(text)
-    if "\n" in chars and _maybe_scanned(text):
+    if "\n" in text and _maybe_scanned(text):
         page = p4_scans.Page(text, title)
         if page.scanned:
             text = "\n".join(page.lines[k] for k in page.story)
-    if not chars.isdisjoint("-\u00ad¬‐") and SIGN.search(text):
+    if PLAIN_SIGN.search(text) or (any(c in text for c in "\u00ad¬‐") and SIGN.search(text)):
         text = JOINED.sub(lambda m: m.group(1) or m.group(2) or m.group(3), text)
-    if not chars.isdisjoint("@!|") and MISREAD.search(text):
+    if any(c in text for c in "@!|") and MISREAD.search(text):
         text = INSIDE.sub(lambda m: "a" if m.group() == "@" else "l", text)
     flat = " ".join(words(text))
     for read, written in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("li", "h")):
@@ -353,7 +354,7 @@ def class_pairs(df: DataFrame, index: DataFrame, heldout: DataFrame) -> tuple[Da
     many = classes.where("copies > 1").select("cid", "train", "eval", F.col("doc_id").alias("first"))
     marked = bodies.select("doc_id", "cid", "body", F.col("train").alias("t"), F.col("eval").alias("e")).join(small(many, SHARED_PRINTS), "cid", "left").where("first is null or doc_id = first")
     first = marked.select("cid", F.coalesce("train", "t").alias("train"), F.coalesce("eval", "e").alias("eval"), "body")
-    pairs = candidates(sketches(first, ranks(bodies)))
+    pairs = candidates(sketches(first, ranks(first)))
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "doc_id"), "cid")
     text = materialize(bodies.select("doc_id", "cid", "body").join(small(wanted, SHARED_PRINTS), ["doc_id", "cid"]).select("cid", "body"), "p7-texts")
     full = pairs.join(text.select(F.col("cid").alias("a"), F.col("body").alias("ta")), "a").join(text.select(F.col("cid").alias("b"), F.col("body").alias("tb")), "b")

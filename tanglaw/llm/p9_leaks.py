@@ -32,19 +32,28 @@ ITEMS_PER_BLOCK = 20_000
 #: Characters that need no look at their category.
 PLAIN = frozenset(map(chr, range(128))) | frozenset("“”‘’«»…–—·•")
 HYPHENED = re.compile(r"[-‐‑](?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*")
+#: What a text with a plain hyphen must have for ``HYPHENED``; a pattern that begins with one sign is searched for fast.
+BROKEN = re.compile(r"-[\n\r\x0b\x0c\x85\u2028\u2029]")
 WORD = re.compile(r"[^\W_]+")
+NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: The letters and digits of ASCII as they are, spaces for the rest.
+LETTERS = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
 
 
 def words(text: str) -> list[str]:
     """The words of ``text`` as they are compared."""
-    text = text.lower()
+    text, plain = text.lower(), True
     if not text.isascii():
         text = unicodedata.normalize("NFD", text)
-        for c in set(text).difference(PLAIN):
+        for c in set("".join(NON_ASCII.findall(text))).difference(PLAIN):
             if unicodedata.category(c) in ("Mn", "Cf"):
                 text = text.replace(c, "")
-    if "-" in text or "‐" in text or "‑" in text:
+            else:
+                plain = False
+    if "‐" in text or "‑" in text or BROKEN.search(text):
         text = HYPHENED.sub("", text)
+    if plain:  # what isn't ASCII only separates
+        return text.encode("ascii", "replace").translate(LETTERS).decode().split()
     return WORD.findall(text)
 
 

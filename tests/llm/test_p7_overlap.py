@@ -1,9 +1,10 @@
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 
-from tanglaw.llm import p7_overlap
+from tanglaw.llm import p1_notices, p7_overlap, p9_leaks
 
 rng = random.Random(6)
 VOCABULARY = ["".join(rng.choice("bdgklmnprst") + rng.choice("aiou") for _ in range(rng.randint(2, 5))) for _ in range(900)]
@@ -145,3 +146,27 @@ def test_texts_are_not_shuffled_to_tell_their_partitions(spark, monkeypatch):
     monkeypatch.setattr(p7_overlap, "spread", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     assert stories(spark, [lines_of(3)] * 2)[0] == {(0, 1)}
     assert plans and not any("Exchange" in plan for plan in plans)
+
+
+def test_letters_of_a_line_are_made_once(spark):
+    """The filter on the number of letters isn't pushed below the column that makes them."""
+    df = spark.createDataFrame([(1, "x", "Isang mahabang linya ng mga titik dito\nmaikli\n" + "1" * 40)], "doc_id bigint, language string, text string")
+    lines = p1_notices.line_table(df, parts=True)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count(r"\P{L}+") == 1
+    assert [(r.doc_id, r.line_no, round(r.part, 3)) for r in lines.collect()] == [(1, 1, round(38 / 86, 3))]
+
+
+def test_words_of_copies_are_ranked_once(spark, monkeypatch):
+    """Ranks of tokens are made from one text of each class, however many copies there are."""
+    rows, ranks = [], p7_overlap.ranks
+    monkeypatch.setattr(p7_overlap, "ranks", lambda bodies: rows.append(bodies.count()) or ranks(bodies))
+    assert len(stories(spark, [lines_of(4)] * 12 + [lines_of(4)])[0]) == 36 and set(rows) == {2}
+
+
+def test_words_are_those_of_the_pattern():
+    """Texts whose other signs only separate are cut as bytes, with the same words; hyphens at any break join."""
+    pool = [*map(chr, range(0x250)), *"“”‘’–—…•·‐‑­  Kİßﬁ١²ªКий"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) if rng.random() < 0.1 else rng.choice("abcXYZ01 _-\n.?@!|") for _ in range(40))
+        flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if c in p9_leaks.PLAIN or unicodedata.category(c) not in ("Mn", "Cf"))
+        assert p9_leaks.words(text) == p9_leaks.WORD.findall(p9_leaks.HYPHENED.sub("", flat))
