@@ -50,26 +50,31 @@ def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"words": T.alpha_tokens(value), "n_sents": F.size(T.sentences(value))})
 
 
-def trad(words: Column, n_sents: Column, language: Column) -> dict[str, Column]:
-    """Mean sentence length, mean word length, share of words of three syllables or more, type-token ratio."""
-    n = F.size(words)
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+def line_of(words: Column) -> Column:
+    """``words`` (without white space in them) as one text between spaces, in which patterns count words many times as fast as functions of each word do."""
+    return F.array_join(words, " ")
+
+
+def trad(words: Column, n_sents: Column, language: Column, line: Column | None = None) -> dict[str, Column]:
+    """Mean sentence length, mean word length, share of words of three syllables or more, type-token ratio. ``line`` is ``line_of(words)``, where it is there as a column."""
+    n, line = F.size(words), line_of(words) if line is None else line
+    letters = F.length(line) - F.greatest(n - 1, F.lit(0))
     return {
         "mean_sentence_len": n / F.greatest(n_sents, F.lit(1)),
         "mean_word_len": share(letters, n),
-        "polysyll_freq": share(F.size(F.filter(syllables(words, language), lambda k: k >= 3)), n),
+        "polysyll_freq": share(by_vowels(language, lambda v: F.regexp_count(line, F.lit(f"[{v}]++[^{v} ]++[{v}]++[^{v} ]++[{v}][^ ]*+"))), n),
         "type_token_ratio": share(F.size(F.array_distinct(words)), n),
     }
 
 
-def syll(words: Column, language: Column, wanted: dict[str, str] = SHAPES) -> dict[str, Column]:
-    """The share of words whose whole skeleton is each shape."""
-    skeletons = shapes(words, language)
+def syll(words: Column, language: Column, wanted: dict[str, str] = SHAPES, line: Column | None = None) -> dict[str, Column]:
+    """The share of words whose whole skeleton is each shape. ``line`` is ``line_of(words)``, where it is there as a column."""
+    line = line_of(words) if line is None else line
 
-    def is_shape(pattern: str):
-        return lambda s: s == F.lit(pattern)
+    def number(shape: str) -> Column:
+        return by_vowels(language, lambda v: F.regexp_count(line, F.lit("(?<![^ ])" + "".join(f"[{v}]" if c == "V" else f"[^{v} ]" for c in shape) + "(?![^ ])")))
 
-    return {name: share(F.size(F.filter(skeletons, is_shape(pattern))), F.size(words)) for name, pattern in wanted.items()}
+    return {name: share(number(shape), F.size(words)) for name, shape in wanted.items()}
 
 
 def wide(words: Column, n_sents: Column, language: Column) -> dict[str, Column]:

@@ -48,7 +48,7 @@ def letter_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: a split at white space after ``.``, ``!`` or ``?``; blank ones are dropped."""
-    return F.filter(F.split(strip(text), rf"(?<=[.?!]){L.WS}+"), lambda s: strip(s) != "")
+    return F.filter(F.split(F.btrim(text, F.lit(L.WS_SIGNS)), rf"(?<=[.?!]){L.WS}+"), lambda s: s.rlike(L.NOT_WS))
 
 
 def scrub_entities(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 #: White space as Unicode text libraries see it, spelled out since engines differ on ``\s``.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
+#: The characters of ``WS``.
+WS_SIGNS = "\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000"
 
 LANGUAGES = ("tagalog", "cebuano", "bikol", "hiligaynon", "minasbate", "karay-a", "rinconada")
 HIGH_RESOURCE = ("tagalog", "cebuano", "bikol")

@@ -127,10 +127,12 @@ def grow(codes: np.ndarray, label: np.ndarray, others: np.ndarray, depth: int, r
     tried = int(np.ceil(np.sqrt(features)))
     sizes = np.bincount(label, minlength=classes)
     weight = len(label) / ((sizes > 0).sum() * np.maximum(sizes, 1))
-    bag = rng.poisson(1.0, len(label))
+    bag = rng.poisson(1.0, len(label)).astype(np.float64)
     votes, rows, asked = np.zeros((len(others), classes), np.int64), np.flatnonzero(bag), np.arange(len(others))
     if not len(rows):
         return votes
+    # Values are taken from flat arrays, and counters have the classes first: both several times as fast as indexing by pairs and sums over a last axis of few places.
+    value_of, asked_of, by_class = np.ascontiguousarray(codes).ravel(), np.ascontiguousarray(others).ravel(), weight[:, None, None]
     # A group of nodes of one level: the training rows and the rows asked about, the node of each, the number of nodes and the level.
     groups = [(rows, np.zeros(len(rows), np.int64), asked, np.zeros(len(asked), np.int64), 1, 0)]
     most = max(1, CELLS // (BINS * classes))
@@ -141,33 +143,43 @@ def grow(codes: np.ndarray, label: np.ndarray, others: np.ndarray, depth: int, r
                 a, b = (node >= low) & (node < low + most), (place >= low) & (place < low + most)
                 groups.append((rows[a], node[a] - low, asked[b], place[b] - low, min(most, n - low), level))
             continue
-        count, y = bag[rows], label[rows]
-        total = np.bincount(node * classes + y, count, n * classes).reshape(n, classes)
-        every = (total * weight).sum(1)
-        parent = ((total * weight) ** 2).sum(1) / every
-        best, feature, cut = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        total = np.bincount(label[rows] * n + node, bag[rows], n * classes).reshape(classes, n)
+        weighed = total * weight[:, None]
+        every = weighed.sum(0)
+        feature, cut, split = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         if level < depth:
             choice = np.argsort(rng.random((n, features)), 1)[:, :tried]
-            for k in range(tried):
-                key = (node * BINS + codes[rows, choice[node, k]]) * classes + y
-                left = np.cumsum(np.bincount(key, count, n * BINS * classes).reshape(n, BINS, classes), 1)[:, :-1]
-                right = total[:, None] - left
-                sound = (left.sum(2) >= least) & (right.sum(2) >= least)
-                left, right = left * weight, right * weight
-                score = np.where(sound, (left**2).sum(2) / np.maximum(left.sum(2), 1e-300) + (right**2).sum(2) / np.maximum(right.sum(2), 1e-300), -1.0)
+            # Nodes of one class, and those too small for two leaves, can't be split and aren't counted.
+            open_ = np.flatnonzero(((total > 0).sum(0) > 1) & (total.sum(0) >= 2 * least))
+            number = np.full(n, -1)
+            number[open_] = np.arange(len(open_))
+            node = number[node]
+            rows, node = rows[node >= 0], node[node >= 0]
+            m, total_, choice = len(open_), total[:, open_, None], choice[open_]
+            best, chosen, at_bin = np.full(m, -1.0), np.zeros(m, np.int64), np.zeros(m, np.int64)
+            count, start, cell = bag[rows], rows * features, (label[rows] * m + node) * BINS
+            for k in range(tried if m else 0):
+                column = choice[:, k]
+                left = np.cumsum(np.bincount(cell + value_of[start + column[node]], count, classes * m * BINS).reshape(classes, m, BINS), 2)[:, :, :-1]
+                right = total_ - left
+                sound = (left.sum(0) >= least) & (right.sum(0) >= least)
+                left, right = left * by_class, right * by_class
+                score = np.where(sound, (left**2).sum(0) / np.maximum(left.sum(0), 1e-300) + (right**2).sum(0) / np.maximum(right.sum(0), 1e-300), -1.0)
                 at = score.argmax(1)
-                value = score[np.arange(n), at]
+                value = score[np.arange(m), at]
                 better = value > best
-                best[better], feature[better], cut[better] = value[better], choice[better, k], at[better]
-        split = best > parent * (1 + 1e-12)
+                best[better], chosen[better], at_bin[better] = value[better], column[better], at[better]
+            feature[open_], cut[open_], split[open_] = chosen, at_bin, best > (weighed[:, open_] ** 2).sum(0) / every[open_] * (1 + 1e-12)
+            node = open_[node]
         ends = ~split[place]
-        votes[asked[ends]] = np.rint(total[place[ends]] * weight / every[place[ends], None] * VOTE)
-        new = 2 * (np.cumsum(split) - 1)
-        rows, node = rows[split[node]], node[split[node]]
+        votes[asked[ends]] = np.rint((weighed / every)[:, place[ends]] * VOTE).T
         asked, place = asked[~ends], place[~ends]
         if len(asked):
-            node = new[node] + (codes[rows, feature[node]] > cut[node])
-            place = new[place] + (others[asked, feature[place]] > cut[place])
+            new = 2 * (np.cumsum(split) - 1)
+            going = split[node]
+            rows, node = rows[going], node[going]
+            node = new[node] + (value_of[rows * features + feature[node]] > cut[node])
+            place = new[place] + (asked_of[asked * features + feature[place]] > cut[place])
             # Nodes that no asked row reaches say nothing.
             used = np.zeros(2 * int(split.sum()), bool)
             used[place] = True

@@ -24,8 +24,8 @@ def features14(df: DataFrame, anchors: DataFrame) -> DataFrame:
     missing = {"doc_id", "language", "level", "text"} - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
-    docs = FE.tokenized(df)
-    local = FE.trad(F.col("words"), F.col("n_sents"), F.col("language")) | FE.syll(F.col("words"), F.col("language"))
+    docs = FE.tokenized(df).withColumn("line", FE.line_of(F.col("words")))
+    local = FE.trad(F.col("words"), F.col("n_sents"), F.col("language"), F.col("line")) | FE.syll(F.col("words"), F.col("language"), line=F.col("line"))
     rows = docs.select("doc_id", *[c.alias(n) for n, c in local.items()], F.col("level").alias("label"), "language", corpus.role(F.col("language")).alias("split_role"), "text")
     out = ngrams.with_rbo(rows, "text", anchors)
     rounded = [F.round(c, 8).alias(c) if c.endswith(("_bi", "_tri")) else c for c in FEATURES]

@@ -99,3 +99,19 @@ def test_metrics_of_the_forest(spark, data):
     assert jobs(spark) - before <= 60
     want = pipelines.folds(load(spark, data, "high_resource_index")).groupBy("language").count().collect()
     assert {r.language: rows[r.language].n_docs for r in want} | {"all": sum(r["count"] for r in want)} == {k: r.n_docs for k, r in rows.items()}
+
+
+def test_nodes_that_cannot_be_split_are_not_counted(monkeypatch):
+    """Over rows of one class a tree counts the classes of its root, not the bins of its values."""
+    rows, bincount = [], np.bincount
+    monkeypatch.setattr(model.np, "bincount", lambda *a, **k: rows.append(len(a[0])) or bincount(*a, **k))
+    codes = np.random.default_rng(2).integers(0, 32, (300, 9)).astype(np.uint8)
+    votes = model.grow(codes, np.zeros(300, np.int64), codes, 30, np.random.default_rng(1))
+    assert (votes == model.VOTE).all() and len(rows) == 2
+
+
+def test_features_count_words_in_one_text(spark, data):
+    """The text of a document's words is made once, and no feature makes skeletons of words one by one."""
+    rows = pipelines.features14(load(spark, data, "all_languages"), load(spark, data, "anchor_ngrams"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1 and "transform(" not in plan

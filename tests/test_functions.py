@@ -74,3 +74,18 @@ def test_normalization_is_idempotent_and_keeps_letters(spark, texts):
         if "&" not in text:
             assert letters(text) == letters(a)
             assert b == a or "- " in a or " -" in a or "--" in a
+
+
+def test_sentences_are_cut_and_dropped_by_the_same_white_space(spark):
+    """Trimming by signs and dropping blank sentences do what the patterns of ``strip`` do, for every white space and others like it."""
+    from tanglaw import lexicon as L
+
+    signs = [chr(k) for k in (*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    texts = [t for c in signs for t in (c, f"{c}Oo.{c}Hindi!{c}", f"Ano?{c} {c}", f".{c}.{c}", f"a{c}\n", f"{c}\n")] + ["", " . "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    strip = lambda x: F.regexp_replace(x, f"^{L.WS}+|{L.WS}+$", "")
+    want = F.filter(F.split(strip(F.col("t")), rf"(?<=[.?!]){L.WS}+"), lambda s: strip(s) != "")
+    rows = df.select("t", T.sentences(F.col("t")).alias("got"), want.alias("want")).collect()
+    assert [r.t for r in rows if r.got != r.want] == []
+    plan = df.select(T.sentences(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
