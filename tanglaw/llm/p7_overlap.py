@@ -5,7 +5,7 @@ all further work is on class representatives.
 
 Candidates come from an exact prefix filter, which loses no pair. A token is a word with its number among the text's equal words, so that common tokens count words as often as they stand in both.
 Two texts of which the longer has n words must share t = ceil(SHARE n) tokens. With the tokens of each text in one order for all texts, rarest first, the first n - t + DEPTH of
-each text hold at least DEPTH of the shared ones (all of them where t is smaller). Texts of like length (bands) meet in blocks of bounded size, where shared tokens are counted through postings; the
+each text hold at least DEPTH of the shared ones (all of them where t is smaller). Longer texts have longer prefixes; within a pair t is that of its longer text. Texts of like length (bands) meet in blocks of bounded size, where shared tokens are counted through postings; the
 prefixes are stored once in shares that the blocks read, not sent to each block; neither a template nor a third of all rows in one family changes what is found, as no token is dropped or replaced. Pairs with enough shared tokens are aligned word by word (longest common
 subsequence). At the end classes are expanded to the documents.
 
@@ -15,6 +15,7 @@ Defined results: null and blank texts form no pairs; an index row that stands tw
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ from .p9_leaks import NON_ASCII, words
 SHARED_PRINTS = 2_000_000
 #: The share of the longer text's words that must stand in the same order in the other.
 SHARE = 0.7
-#: Shared tokens that a pair must have in its prefixes: more makes the prefixes longer and the candidates fewer; the result is the same.
+#: Shared tokens that a pair must have in its prefixes, and one more for each 16 words: more makes the prefixes longer and the candidates fewer; the result is the same.
 DEPTH = 24
 #: Shared tokens that are counted for all pairs of a block, before the others: fewer make the lists that are gone through shorter; the result is the same.
-FIRST = 12
+FIRST = 8
 #: Training classes in a block.
 BLOCK = 1 << 17
 #: Evaluation classes in a block where there are few, and at most.
@@ -149,7 +150,7 @@ def sketches(first: DataFrame, rank: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 2000)
                 found, doc, size = tokens(part.column(3).to_pylist())
                 order = np.lexsort((found, rank[found >> np.uint32(32 - BUCKETS)], doc))
-                length = np.minimum(size, size - needed(size) + DEPTH)
+                length = np.minimum(size, size - needed(size) + DEPTH + size // 16)  # long texts share more frequent tokens
                 keep = np.arange(len(doc)) - (np.cumsum(size) - size)[doc] < length[doc]
                 raw, cuts = found[order][keep].tobytes(), 4 * np.cumsum(length)
                 band = np.floor(np.log(size) / -np.log(SHARE)).astype(np.int32)
@@ -167,51 +168,108 @@ def _flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return side.column("cid").to_numpy(), side.column("words").to_numpy().astype(np.int64), np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
 
 
-def _firsts(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the tokens of all rows are among the first that must hold ``FIRST`` shared ones, and how many are in each row."""
-    m = np.minimum(n, words - needed(words) + FIRST)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) < np.repeat(m, n), m
+def _deep(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many shared tokens the stored prefixes of ``n`` tokens hold at least; texts that are stored whole hold all."""
+    return np.where(n < words, n - words + needed(words), np.iinfo(np.int64).max)
+
+
+def _first(size: np.ndarray) -> np.ndarray:
+    """How many shared tokens are counted first for partners of ``size`` words: ``FIRST``, and more where long texts share many frequent ones."""
+    return np.minimum(FIRST + size // 32, max(FIRST, DEPTH))
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    """The lower half of each key."""
+    return keys.view(np.uint32)[0 if sys.byteorder == "little" else 1 :: 2]
+
+
+def _rest(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number of tokens that stand after each token in its text."""
+    return np.repeat((words - 1 + np.cumsum(n) - n).astype(np.int32), n) - np.arange(n.sum(), dtype=np.int32)
+
+
+class _Postings:
+    """The first tokens of the training classes of a block, as pairs of a token and the place of a class that has it. Classes stand in the order of their words."""
+
+    def __init__(self, words: np.ndarray, token: np.ndarray, n: np.ndarray, most: int) -> None:
+        """``most``: the words of the longest partner."""
+        self.words, self.least, self.high = words, needed(words), -1
+        row = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        rest = _rest(words, n)  # the words after a token; that many and those before must hold what is asked of a pair
+        use = rest + np.int32(_first(np.int64(most))) >= self.least.astype(np.int32)[row]
+        row, rest = row[use], rest[use]
+        keys = token[use].astype(np.uint64)
+        keys <<= PLACE
+        keys |= row
+        del row, use
+        order = np.argsort(keys)
+        self.rest = rest[order]
+        self.all = keys[order]
+        del keys, order, rest
+        self.spare = self.rest - self.least.astype(np.int32)[_place(self.all)]
+
+    def fit(self, low: int, high: int) -> None:
+        """Keep the tokens that count for partners of ``low`` to ``high`` words."""
+        if high <= self.high:
+            return
+        self.high = max(high, low * 21 // 20)
+        asked = needed(np.array([low]))[0]
+        first, place = int(_first(np.int64(self.high))), _place(self.all)
+        fits = (place >= np.uint32(np.searchsorted(self.words, asked))) & (place < np.uint32(np.searchsorted(self.least, self.high, "right")))
+        self.keys = self.place = None  # not kept beside the new ones
+        self.keys = self.all[fits & (self.spare >= -first) & (self.rest >= int(asked) - first)]
+        self.place = _place(self.keys).copy()
+
+    def runs(self, size: np.ndarray, read: np.ndarray, m: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """The runs of places that hold a token of each partner, of lengths that fit: their beginnings and ends, and the number of runs up to the end of each partner."""
+        own, of = needed(size), np.repeat(np.arange(len(m)), m)
+        most = _rest(size, m) + _first(size)[of]
+        use = np.flatnonzero(most >= own[of])
+        use = use[np.argsort(read[use])]  # searching in order is faster
+        of, key = of[use], read[use].astype(np.uint64) << PLACE
+        low = np.searchsorted(self.words, own)[of]
+        high = np.searchsorted(self.least, np.arange(size.max() + 1), "right")[np.minimum(size[of], most[use])]
+        i, j = np.searchsorted(self.keys, key | low.astype(np.uint64)), np.searchsorted(self.keys, key | high.astype(np.uint64))
+        some = np.flatnonzero(i < j)
+        some = some[np.argsort(of[some], kind="stable")]
+        return i[some].tolist(), j[some].tolist(), np.cumsum(np.bincount(of[some], minlength=len(m))).tolist()
 
 
 def _met(left: pa.Table, right: pa.Table) -> pa.Table:
     """The pairs (a, b) of a block whose prefixes share as many tokens as a pair above ``SHARE`` must: ``FIRST`` in the first part of each, which is counted for all pairs of lengths that fit,
-    and ``DEPTH`` in the whole, which is counted for the pairs that are left."""
+    and as many as are stored for in the whole, which is counted for the pairs that are left. How long both parts are depends on the longer text of a pair. Only places that a token leads to are
+    counted, by sorting them: one that stands ``FIRST`` times follows itself at that distance."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if left.num_rows and right.num_rows:
-        left = left.sort_by("words")
+        left, right = left.sort_by("words"), right.sort_by("words")
         cid, words, token, n = _flat(left)
-        least, start = needed(words), np.cumsum(n) - n
-        first = _firsts(words, n)[0]
-        post = np.sort(token[first].astype(np.uint64) << PLACE | np.repeat(np.arange(len(n), dtype=np.uint64), n)[first])
-        keys, post = post, (post & np.uint64((1 << 32) - 1)).astype(np.int64)
+        least, start, deep = needed(words), np.cumsum(n) - n, _deep(words, n)
+        posts = _Postings(words, token, n, right.column("words")[-1].as_py())
         for at in range(0, right.num_rows, 4096):
             others, size, read, m = _flat(right.slice(at, 4096))
-            own = needed(size)
-            low, high = np.searchsorted(words, own, "left"), np.searchsorted(least, size, "right")  # the lengths that fit
-            use, count = _firsts(size, m)
-            key = read[use].astype(np.uint64) << PLACE
-            i, j = (np.searchsorted(keys, key | np.repeat(x.astype(np.uint64), count)).tolist() for x in (low, high))
-            ends, whole = np.cumsum(count).tolist(), np.cumsum(m).tolist()
-            for k, (end, c, x, y, t) in enumerate(zip(ends, count.tolist(), low.tolist(), high.tolist(), own.tolist())):
-                runs = [post[p:q] for p, q in zip(i[end - c : end], j[end - c : end]) if q > p]
-                if not runs:
-                    continue
-                shared = np.bincount(np.concatenate(runs) - x, minlength=y - x)
-                hit = np.flatnonzero(shared >= min(FIRST, t))
-                if not len(hit):
-                    continue
-                most = np.maximum(least[x + hit], t)
-                hit = x + hit[(shared[hit] >= np.minimum(FIRST, most)) & (cid[x + hit] != others[k])]
-                if not len(hit):
-                    continue
-                own_tokens, sizes = np.sort(read[whole[k] - m[k] : whole[k]]), n[hit]
-                cuts = np.cumsum(sizes) - sizes
-                theirs = token[np.arange(sizes.sum()) + np.repeat(start[hit] - cuts, sizes)]
-                both = np.add.reduceat(np.searchsorted(own_tokens, theirs, "right") - np.searchsorted(own_tokens, theirs, "left"), cuts)
-                hit = hit[both >= np.minimum(DEPTH, np.maximum(least[hit], t))]
-                if len(hit):
-                    a.append(cid[hit])
-                    b.append(np.full(len(hit), others[k]))
+            posts.fit(int(size[0]), int(size[-1]))
+            i, j, ends = posts.runs(size, read, m)
+            own, own_deep, whole, place, done = needed(size), _deep(size, m), np.cumsum(m) - m, posts.place, 0
+            for k, (end, t, far) in enumerate(zip(ends, own.tolist(), (np.minimum(_first(size), own) - 1).tolist())):
+                if end - done > far:
+                    met = np.concatenate([place[p:q] for p, q in zip(i[done:end], j[done:end])])
+                    met.sort()
+                    hit = met[far:][met[far:] == met[: len(met) - far]]
+                    if len(hit):
+                        hit = hit[np.concatenate(([True], hit[1:] != hit[:-1]))]
+                        most = np.maximum(least[hit], t)
+                        asked = np.minimum(np.minimum(deep[hit], own_deep[k]), most)
+                        mine = read[whole[k] : whole[k] + m[k]]
+                        order = np.argsort(mine, kind="stable")
+                        mine, sizes = mine[order], np.minimum(n[hit], words[hit] - most + asked)
+                        cuts = np.cumsum(sizes) - sizes
+                        theirs = token[np.arange(sizes.sum()) + np.repeat(start[hit] - cuts, sizes)]
+                        where = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                        both = np.add.reduceat((mine[where] == theirs) & (order[where] < np.repeat(size[k] - most + asked, sizes)), cuts, dtype=np.int64)
+                        hit = hit[(both >= asked) & (cid[hit] != others[k])]
+                        a.append(cid[hit])
+                        b.append(np.full(len(hit), others[k]))
+                done = end
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 

@@ -111,6 +111,18 @@ def test_block_counts_only_lengths_that_fit(monkeypatch):
         assert got == want or first < p7_overlap.DEPTH
 
 
+def test_long_texts_of_one_language_are_few_candidates(spark):
+    """Of the 4,200 pairs of texts that share more than half of their words, the frequent ones, few are aligned; near copies are."""
+    draw = np.random.default_rng(8)
+    weights = 1 / np.arange(1, len(VOCABULARY) + 1)
+    texts = [[VOCABULARY[k] for k in draw.choice(len(VOCABULARY), 450, p=weights / weights.sum())] for _ in range(120)]
+    copies = [[w if rng.random() > 0.2 else rng.choice(VOCABULARY) for w in words] for words in texts[:10]]
+    rows = [(k, k < 60, k >= 60, " ".join(words)) for k, words in enumerate(texts + copies)]
+    first = spark.createDataFrame(rows, "cid bigint, train boolean, eval boolean, body string")
+    met = {(r.a, r.b) for r in p7_overlap.candidates(p7_overlap.sketches(first, p7_overlap.ranks(first))).collect()}
+    assert met >= {(k, 120 + k) for k in range(10)} and len(met) < 60
+
+
 def shuffled(spark):
     """The rows that all stages so far have written for shuffles."""
     store = spark.sparkContext._jsc.sc().statusStore()
